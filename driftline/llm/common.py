@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: few, as one text may be very long.
 BATCH_ROWS = 1000
@@ -122,6 +123,22 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(hashes, min(width, len(hashes))))
 
 
+#: Marks in the filter of :func:`only_needed`, at most.
+MARKS = 1 << 20
+
+
+def only_needed(rows: DataFrame, ids: DataFrame, id_column: str = "doc_id", absent: bool = False) -> DataFrame:
+    """Rows whose id may be in the one column of ``ids``, found before any shuffle of the rows; the
+    others, if ``absent``.
+
+    What is broadcast are the ids' hashes modulo MARKS, so never more than MARKS integers; rows that
+    pass by chance (all, if there are very many ids) are left to the join that follows.
+    """
+    mark = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(MARKS)).cast("int")
+    marks = ids.toDF("_id").select(mark("_id").alias("_mark")).distinct()
+    return rows.withColumn("_mark", mark(id_column)).join(F.broadcast(marks), "_mark", "left_anti" if absent else "left_semi").drop("_mark")
+
+
 def quiet_threads() -> None:
     """One thread for each Python worker: Spark deals out the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
