@@ -38,6 +38,8 @@ from driftline.plans.storage import materialize
 WIDTH = 5
 #: What a shingle that isn't in common costs, low enough for no passage at the least similarity to fall apart.
 _PENALTY = 4
+#: How far diagonals of one passage may be apart: words put in or left out.
+_SLACK = 10
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Hashes; a passage at the least similarity has no centre in common with probability 0.2^HASHES.
@@ -169,7 +171,7 @@ def links(windows: DataFrame) -> DataFrame:
     return joined.groupBy("first", "doc_id").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("spans"))
 
 
-def clusters(spans: list[tuple[int, int, int]], slack: int = 10) -> list[tuple[int, int, int, int]]:
+def clusters(spans: list[tuple[int, int, int]], slack: int = _SLACK) -> list[tuple[int, int, int, int]]:
     """(lo, hi, least shift, greatest shift): spans that overlap or nearly touch, on diagonals close together."""
     out: list[list[int]] = []
     for shift, lo, hi in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
@@ -183,13 +185,24 @@ def clusters(spans: list[tuple[int, int, int]], slack: int = 10) -> list[tuple[i
 
 
 def passages(source: np.ndarray, copy: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """(start, end, source start, source end, similarity) of verified passages, by shingles, ends exclusive."""
+    """(start, end, source start, source end, similarity) of verified passages, by shingles, ends exclusive.
+
+    Where the texts agree, place k of the copy is expected at k or a little later in the source.
+    """
     if len(source) < 1 or len(copy) < _SPAN:
         return []
     by = np.argsort(source, kind="stable")
     at = np.minimum(np.searchsorted(source[by], copy), len(source) - 1)
     place = by[at]
     hit = source[place] == copy
+    if len(by) > 1 and (np.diff(source[by]) == 0).any():  # of equal shingles the one next to the diagonal counts
+        x, free = np.arange(len(copy)), hit.copy()
+        for d in range(_SLACK + 1):
+            on = np.flatnonzero(free & (x + d < len(source)))
+            on = on[source[on + d] == copy[on]]
+            place[on], free[on] = on + d, False
+            if not free.any():
+                break
     edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=-1, append=-1))
     runs = [(a, b, 1 if hit[a] else -_PENALTY) for a, b in zip(edges.tolist(), edges[1:].tolist())]
     out, todo, k = [], [], 0
@@ -216,7 +229,7 @@ def passages(source: np.ndarray, copy: np.ndarray) -> list[tuple[int, int, int,
             continue
         inside = np.arange(lo, hi)[hit[lo:hi]]
         shift = place[inside] - inside
-        near = place[inside][np.abs(shift - np.median(shift)) <= 20]
+        near = place[inside][np.abs(shift - np.median(shift)) <= 2 * _SLACK]
         s, e = int(near.min()), int(near.max()) + 1
         p, q = np.unique(copy[lo:hi]), np.unique(source[s:e])
         common = len(np.intersect1d(p, q, assume_unique=True))
