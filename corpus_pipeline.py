@@ -1,18 +1,31 @@
-"""From raw documents to packed sequences, in five stages."""
+"""From raw documents to packed sequences, in five stages.
+
+Every stage works on all that the one before it kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import packing, quality, secrets
+from driftline.llm import minhash, packing, quality, secrets, substring
 from driftline.plans.storage import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
+    """Documents that pass every rule; the others go."""
     return quality.apply_rules(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked at 0.8 by 5-word shingles."""
+    return minhash.deduplicate(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, passages that stand in an earlier place cut out; without words left, they go."""
+    return substring.remove_repeats(docs, materialize(substring.repeated_passages(docs), "spans"))
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in them masked."""
     return secrets.mask_documents(docs)
@@ -25,7 +38,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("secret scan", secret_scan), ("packing", pack_sequences)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("secret scan", secret_scan),
+    ("packing", pack_sequences),
+]
 #: SQL cannot express the stages that link near-duplicates and pack tokens.
 ORACLE_SQL = None
 
