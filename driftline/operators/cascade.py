@@ -16,7 +16,7 @@ def spread(graph: Graph, seeds: DataFrame, simulations: int) -> DataFrame:
     An arc's coin hangs on its ends and on the simulation, in this direction only.
     """
     arcs = graph.edges.select("src", "dst", threshold(F.col("w")).alias("t"))
-    begin = seeds.select(F.col("vertex").alias("v")).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).cast("long").alias("i"), "v")
+    begin = seeds.select(F.col("vertex").alias("v")).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("i"), "v").withColumn("i", F.col("i").cast("long"))
     seen = front = materialize(begin, "front")
     while True:
         step = front.join(arcs, front["v"] == arcs["src"]).where(coin(F.col("src"), F.col("dst"), F.col("i") + DIRECTED) < F.col("t"))

@@ -42,7 +42,8 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 def transpose(edges: DataFrame) -> DataFrame:
     """Every arc turned round; loops and repeats stay."""
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"}).select(*edges.columns)
+    turned = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+    return edges.select(*(turned.get(c, F.col(c)) for c in edges.columns))
 
 
 def out_degree(graph: Graph) -> DataFrame:
@@ -82,10 +83,10 @@ def offsets(graph: Graph) -> DataFrame:
 
 def remap_first_seen(edges: DataFrame) -> DataFrame:
     """``pos, src, dst`` of ``edges(pos, src, dst)`` with dense ids in the order of first appearance
-    (source before destination), from 0."""
+    (source before destination, ties of ``pos`` by id), from 0."""
     seen = edges.select((2 * F.col("pos")).alias("at"), F.col("src").alias("id")).union(edges.select((2 * F.col("pos") + 1).alias("at"), F.col("dst").alias("id")))
     first = seen.groupBy("id").agg(F.min("at").alias("at"))
-    ids = numbered(first, ["at"], "new").select("id", "new")
+    ids = numbered(first, ["at", "id"], "new").select("id", "new")
     s, d = ids.toDF("src", "new_src"), ids.toDF("dst", "new_dst")
     return edges.join(s, "src").join(d, "dst").select("pos", F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
 

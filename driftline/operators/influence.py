@@ -35,7 +35,7 @@ class Sketch:
 
     def all_rows(self) -> DataFrame:
         """Rows of every vertex in every sample."""
-        every = self.graph.vertices.select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(self.samples - 1))).cast("long").alias("r"))
+        every = self.graph.vertices.select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(self.samples - 1))).alias("r")).withColumn("r", F.col("r").cast("long"))
         joined = every.join(self.rows, ["r", "v"], "left")
         return joined.select("r", "v", F.coalesce("label", "v").alias("label"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
 

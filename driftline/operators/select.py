@@ -124,7 +124,7 @@ def locate(graph: Graph, samples: int, centers: DataFrame, vertices: list[int])
     is none in the component, what it has seen is the component."""
     spark = graph.edges.sparkSession
     arcs = graph.edges.select("src", "dst", threshold(F.col("w")).alias("t"))
-    start = spark.createDataFrame([(v,) for v in vertices], "v long").select("v", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).cast("long").alias("r"))
+    start = spark.createDataFrame([(v,) for v in vertices], "v long").select("v", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).withColumn("r", F.col("r").cast("long"))
     seen = materialize(start.select("v", "r", F.col("v").alias("at")), "seen")
     front, found = seen, None
     rows = centers.select("r", F.col("v").alias("at"), "label", "size")

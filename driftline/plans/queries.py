@@ -250,9 +250,9 @@ SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dot
     "offsets": f"WITH {_DEG} SELECT id, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS \"offset\" FROM g",
     "slot_ids": _SLOTS,
     "remap_first_seen": """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity > 48),
-f AS (SELECT id, min(at) AS at FROM (SELECT 2 * pos AS at, src AS id FROM a UNION ALL SELECT 2 * pos + 1, dst FROM a) GROUP BY id),
-n AS (SELECT id, row_number() OVER (ORDER BY at) - 1 AS new FROM f)
-SELECT pos, s.new AS src, d.new AS dst FROM a JOIN n s ON s.id = a.src JOIN n d ON d.id = a.dst""",
+f AS (SELECT id, min(seen) AS seen FROM (SELECT 2 * pos AS seen, src AS id FROM a UNION ALL SELECT 2 * pos + 1, dst FROM a) GROUP BY id),
+n AS (SELECT id, row_number() OVER (ORDER BY seen, id) - 1 AS fresh FROM f)
+SELECT pos, s.fresh AS src, d.fresh AS dst FROM a JOIN n s ON s.id = a.src JOIN n d ON d.id = a.dst""",
     "ring_lattice": f"""WITH p AS (SELECT id, row_number() OVER (ORDER BY {coins.coin_sql('id', '0', '0')}, id) - 1 AS place FROM range(1000) t(id))
 SELECT a.id AS src, b.id AS dst FROM p a CROSS JOIN range(1, 4) s(k) JOIN p b ON b.place = (a.place + k) % 1000""",
     "weights_uic": f"WITH {_SYM} SELECT src, dst, CAST({W} AS DOUBLE) AS w FROM e",

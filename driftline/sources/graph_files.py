@@ -99,22 +99,26 @@ class CsrSource(DataSource):
         return CsrReader(self.options)
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """``line, k, token``: the tokens of a text file by line and place in it."""
-    split = F.filter(F.split("value", _WORD), lambda x: x != "")
-    return lines.select("line", F.posexplode(split).alias("k", "token"))
+#: What orders the lines of a text, be it one file or many parts.
+_ORDER = ["file", "block", "row"]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value, line`` of a text file; line numbers grow with the place in the file (they have gaps)."""
-    meta = spark.read.text(path).select("value", "_metadata.file_block_start")
-    return meta.withColumn("line", F.monotonically_increasing_id()).select("value", "line")
+    """``value`` of every line with the columns of _ORDER: within a split rows are read in order."""
+    meta = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return meta.withColumn("row", F.monotonically_increasing_id())
+
+
+def _tokens(lines: DataFrame) -> DataFrame:
+    """``k, token``: the tokens of every line, by their places in it."""
+    split = F.filter(F.split("value", _WORD), lambda x: x != "")
+    return lines.select(*_ORDER, F.posexplode(split).alias("k", "token"))
 
 
 def read_adj(spark: SparkSession, path: str) -> Graph:
     """The whole sequence of tokens is numbered in ranges; offsets tell which arcs are whose."""
-    tokens = numbered(_tokens(_lines(spark, path)), ["line", "k"], "at").select("at", "token").where("at > 0")
-    tokens = materialize(tokens.select((F.col("at") - 1).alias("at"), F.col("token").cast("long").alias("x")), "tokens")
+    tokens = numbered(_tokens(_lines(spark, path)), [*_ORDER, "k"], "at").select("at", "token").where("at > 0")
+    tokens = materialize(tokens.select((F.col("at") - 1).alias("at"), F.col("token").try_cast("long").alias("x")), "tokens")
     n, m = (r["x"] for r in tokens.where("at < 2").orderBy("at").collect())
     offs = tokens.where(f"at >= 2 AND at < {2 + n}").select((F.col("at") - 2).alias("id"), F.col("x").alias("o"))
     ids = tokens.where(f"at >= {2 + n} AND at < {2 + n + m}").select((F.col("at") - 2 - n).alias("edge_id"), F.col("x").alias("dst"))
@@ -134,7 +138,8 @@ def read_adj(spark: SparkSession, path: str) -> Graph:
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """``pos, src, dst`` of text pairs; lines that begin with # are left out, ``pos`` grows with the place."""
     split = F.filter(F.split("value", _WORD), lambda x: x != "")
-    rows = _lines(spark, path).where(~F.col("value").startswith("#")).select(F.col("line").alias("pos"), split.alias("t")).where("size(t) >= 2")
+    rows = _lines(spark, path).where(~F.col("value").startswith("#")).select(*_ORDER, split.alias("t")).where("size(t) >= 2")
+    rows = numbered(rows, _ORDER, "pos")
     return rows.select("pos", F.col("t")[0].cast("long").alias("src"), F.col("t")[1].cast("long").alias("dst"))
 
 
@@ -181,7 +186,7 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """``set_id, round, vertex``: the ids of each line that begins with ``seeds:``, lines in order from 0."""
     lines = _lines(spark, path).where(F.col("value").startswith("seeds:"))
     ids = F.filter(F.split(F.substring("value", 7, 1 << 30), " "), lambda x: x != "")
-    sets = numbered(lines.select("line", ids.alias("ids")), ["line"], "set_id")
+    sets = numbered(lines.select(*_ORDER, ids.alias("ids")), _ORDER, "set_id")
     return sets.select("set_id", F.posexplode("ids").alias("round", "vertex")).select("set_id", "round", F.col("vertex").cast("long").alias("vertex"))
 
 
