@@ -125,24 +125,21 @@ def locate(graph: Graph, samples: int, centers: DataFrame, vertices: list[int])
     spark = graph.edges.sparkSession
     arcs = graph.edges.select("src", "dst", threshold(F.col("w")).alias("t"))
     start = spark.createDataFrame([(v,) for v in vertices], "v long").select("v", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("r")).withColumn("r", F.col("r").cast("long"))
-    seen = materialize(start.select("v", "r", F.col("v").alias("at")), "seen")
-    front, found = seen, None
     rows = centers.select("r", F.col("v").alias("at"), "label", "size")
+    front = seen = materialize(start.select("v", "r", F.col("v").alias("at")).join(rows, ["r", "at"], "left"), "front")
     while True:
-        met = front.join(rows, ["r", "at"]).groupBy("v", "r").agg(F.min("label").alias("label"), F.min("size").alias("size"))
-        met = materialize(met, "met")
-        found = met if found is None else found.union(met)
-        going = front.join(met, ["v", "r"], "left_anti")
+        going = front.join(front.where("label IS NOT NULL").select("v", "r").distinct(), ["v", "r"], "left_anti")
         step = going.join(arcs, going["at"] == arcs["src"]).where(coin(F.least("src", "dst"), F.greatest("src", "dst"), F.col("r")) < F.col("t"))
-        front = materialize(step.select("v", "r", F.col("dst").alias("at")).distinct().join(seen, ["v", "r", "at"], "left_anti"), "front")
+        new = step.select("v", "r", F.col("dst").alias("at")).distinct().join(seen.select("v", "r", "at"), ["v", "r", "at"], "left_anti")
+        front = materialize(new.join(rows, ["r", "at"], "left"), "front")
         if front.isEmpty():
             break
-        seen = seen.union(front)
-    alone = seen.join(found, ["v", "r"], "left_anti").groupBy("v", "r").agg(F.min("at").alias("label"), F.count("*").alias("size"))
-    return found.union(alone)
+        seen = seen.unionByName(front)
+    ends = seen.groupBy("v", "r").agg(F.min("label").alias("label"), F.min("size").alias("size"), F.min("at").alias("least"), F.count("*").alias("n"))
+    return ends.select("v", "r", F.coalesce("label", "least").alias("label"), F.coalesce("size", "n").alias("size"))
 
 
-def greedy_alpha(graph: Graph, samples: int, k: int, alpha: float, batch: int = 64) -> DataFrame:
+def greedy_alpha(graph: Graph, samples: int, k: int, alpha: float, batch: int = 16) -> DataFrame:
     """As :func:`greedy`, with sketch rows of a share ``alpha`` of the vertices only."""
     spark = graph.edges.sparkSession
     sketch = build_sketch(graph, samples)
