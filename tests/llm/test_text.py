@@ -1,0 +1,194 @@
+import base64
+import json
+import random
+import zlib
+
+import duckdb
+import pytest
+
+from driftline.llm import html_text, langid, secrets, warc
+
+
+# ---- archive
+
+
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("pages"))
+    rows = [(5, "http://a/5", "x" * 120), (2, "http://a/2", "x" * 120), (9, None, "é" * 60), (7, "u", "é" * 60), (1, "u", None), (3, "u\r\nX-Evil: 1", ""), (4, "u", "short"), (6, "u", "short"), (8, "u", "a\r\n\r\nb" * 40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    return path, rows
+
+
+def test_archive_query(spark, pages):
+    got = {r["page_id"]: r for r in warc.op5_warc(spark, pages[0]).collect()}
+    assert {i: r["refers_to"] for i, r in got.items()} == {1: None, 2: None, 3: None, 4: None, 5: 2, 6: None, 7: None, 8: None, 9: 7}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{pages[0]}/pages.parquet/*.parquet'")
+    sql = con.execute(warc.OP5_SQL).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(sql, key=str) == sorted((tuple(r[n] for n in names) for r in got.values()), key=str)
+
+
+def test_archive_round_trip(spark, pages, tmp_path):
+    d = spark.read.parquet(f"{pages[0]}/pages.parquet")
+    warc.write_archive(d, f"file://{tmp_path}/a")
+    payloads = spark.read.parquet(f"file://{tmp_path}/a/payloads")
+    assert payloads.count() == len({h or "" for _, _, h in pages[1]})  # each once
+    back = {r["record_no"]: r for r in warc.read_archive(spark, f"file://{tmp_path}/a").collect()}
+    assert {i: bytes(r["payload"]).decode() for i, r in back.items()} == {i: h or "" for i, _, h in pages[1]}
+    warc.export_files(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/files")
+    records = [x for r in spark.read.parquet(f"file://{tmp_path}/files").collect() for x in warc.parse_warc(bytes(r["warc"]))]
+    assert sorted(h + b for h, b in records) == sorted(bytes(r["record"])[:-4] for r in back.values())
+    for head, block in records:
+        assert head.startswith(b"WARC/1.1\r\n") and head.endswith(b"\r\n\r\n") and b"\r\nX-Evil" not in head
+        assert (b"WARC-Type: revisit" in head) <= (block == b"")
+    warc.write_archive(d.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
+
+
+# ---- secrets
+
+
+def tlv(tag, data):
+    n = len(data)
+    head = bytes([n]) if n < 128 else bytes([0x81, n]) if n < 256 else bytes([0x82, n >> 8, n & 255])
+    return bytes([tag]) + head + data
+
+
+def integer(x):
+    b = x.to_bytes(x.bit_length() // 8 + 1, "big")
+    return tlv(2, b)
+
+
+P, Q = (1 << 521) - 1, (1 << 607) - 1  # primes
+RSA = tlv(0x30, b"".join(integer(x) for x in (0, P * Q, 65537, 12345, P, Q, 1, 2, 3)))
+SEC1 = tlv(0x30, integer(1) + tlv(4, bytes(range(32))))
+PKCS8 = tlv(0x30, integer(0) + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, bytes(32))))
+
+
+def text_of(data):
+    return base64.b64encode(data).decode()
+
+
+def kinds(text):
+    return [k for _, _, k in secrets.scan(text)[1] if k not in secrets.BASE]
+
+
+def test_confirmed_keys():
+    for key in (RSA, SEC1, PKCS8):
+        assert secrets.is_private_key(key)
+        assert not secrets.is_private_key(key[:-1]) and not secrets.is_private_key(key + b"\0")
+    assert kinds(f"see {text_of(RSA)} there") == ["der"]
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{text_of(RSA)}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"key {PKCS8.hex()}") == ["der_hex"]
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----") == []
+    assert kinds(text_of(bytes(random.Random(1).randbytes(300)))) == []
+    word = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = b"openssh-key-v1\0" + word(b"none") + word(b"none") + word(b"") + (1).to_bytes(4, "big") + word(b"public") + word(b"private" * 9)
+    assert secrets.is_openssh_key(ssh) and not secrets.is_openssh_key(ssh[:-3]) and kinds(text_of(ssh)) == ["openssh"]
+
+
+def test_signed_tokens():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'x'})}.c2lnbmF0dXJl"
+    assert kinds(f"t {good}") == ["jwt"]
+    assert kinds(f"t {part({'typ': 'JWT'})}.{part({'sub': 'x'})}.c2ln") == []
+    assert kinds(f"t {part({'alg': 'HS256'})}.eyJub3Rqc29u.c2ln") == []
+    assert secrets.mask(f"a {good} b") == "a [secret] b"
+    assert secrets.mask("nothing") == "nothing" and secrets.mask(None) is None
+
+
+@pytest.mark.parametrize("text,want", [
+    ("PassWord= 'abcdefghijkl'", "assign:0:23"),
+    ("token=passwd:xxxxxxxxxxxxxx", ""),
+    ("api_key:abcdefghijk", ""),
+    ("x AKIAABCDEFGHIJKLMN1 AKIA1", "access:2:21"),
+    ("0123456789abcdef0 0123456789abcde", "hex:0:17"),
+    ("ſecret=abcdefghijklmnop", ""),
+    ("é token=0123456789abcdef", "assign:2:24,hex:8:24"),
+])
+def test_base_patterns(text, want):
+    assert secrets.joined(secrets.scan(text)[1]) == want
+
+
+def test_secret_query(spark, tmp_path):
+    rows = [(0, None, 0), (1, "", 0), (2, "token=0123456789abcdef", 22), (2, "token=0123456789abcdef", 22), (3, "z" * 200_000 + " AKIAABCDEFGHIJKLMN1", 200_020)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r)[:4] for r in secrets.op10_secrets(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 0, 0), (1, 0, 0, 0), (2, 1, 0, 1), (2, 1, 0, 1), (3, 0, 1, 0)]
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    masked = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.mask_documents(d).collect()}
+    assert masked[2] == ("[secret]", 8) and masked[0] == (None, 0)
+    assert {r["kind"] for r in secrets.find_secrets(d).collect()} == {"assign", "hex", "access"}
+    assert secrets.mask_documents(d.limit(0)).count() == 0
+
+
+# ---- language
+
+
+def test_ngrams_are_those_of_padded_words():
+    got = dict(zip(*(x.tolist() for x in langid.ngrams("Ab, ab 1"))))
+    code = lambda s: sum(ord(c) << 21 * (len(s) - 1 - i) for i, c in enumerate(s))
+    assert got == {code(s): 2 for s in ("a", "b", " a", "ab", "b ", " ab", "ab ")}
+    assert len(langid.ngrams("12 3!")[0]) == 0 and len(langid.ngrams(None)[0]) == 0
+
+
+def test_language_query(spark, tmp_path):
+    stems = {"xx": "bado kera mito sule", "yy": "grusch pflitz wrempf schlott"}
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(stems[k].split()) for _ in range(rng.randrange(5, 60))), k, "s") for i in range(80) for k in [rng.choice(["xx", "yy"])]]
+    rows += [(100, None, "xx", "s"), (101, "123 !", "yy", "s"), (102, "bado kera", None, "s"), (102, "bado kera", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op6_langid(spark, str(tmp_path)).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1
+        assert r["lang_pred"] == ("und" if r["doc_id"] in (100, 101) else truth[r["doc_id"]] or "xx")
+
+
+def test_language_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in langid.op6_langid(spark, sf).collect() if r["held_out"]]
+    assert sum(docs[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+def test_nothing_to_learn_from(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert langid.op6_langid(spark, str(tmp_path)).count() == 0
+    assert langid.Predictor({})("some text") == ("und", 0.0)
+
+
+# ---- pages
+
+PROSE = "The town was on the river and it had been there for as long as anyone could say, with its mills and its bridges. " * 3
+
+
+def test_article_without_what_is_around_it():
+    page = f"""<!doctype html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>{PROSE}</p>";</script></head><body>
+    <header class=top><p>{PROSE}</p></header><nav><a href=/>Home</a></nav><div id="cookie-notice">{PROSE}</div>
+    <article><header><h1>A &amp; B</h1></header><p>{PROSE}<br>next&nbsp;line</p><p>Short.</p><div class="ad">{PROSE}</div><form><label>Mail</label><p>{PROSE}</p></form>
+    <p>Last <b>bold</b> <a href="x">link</a> one</article><section class="comments"><article><p>{PROSE}</p></article></section>
+    <aside><p>{PROSE}</p></aside><footer>&copy; {PROSE}</footer><p clas"""
+    text = " ".join(PROSE.split())
+    assert html_text.main_text(page) == f"A & B {text} next line Short. Last bold link one"
+
+
+def test_page_without_an_article():
+    page = f"<div><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></div><h1>Head</h1><div>{PROSE}</div><p>Bit.</p><p>{PROSE}</p><div>&copy; 2020 {PROSE}</div>"
+    text = " ".join(PROSE.split())
+    assert html_text.main_text(page) == f"Head {text} Bit. {text}"
+
+
+@pytest.mark.parametrize("page", ["", None, "<", "<<<>>>", "<p", "<!--", "<script>", "<a href='", "</p></div>", "&#xfffffff;&bogus;", "<p>" * 5000, "<div>" * 3000 + "x"])
+def test_broken_pages(page):
+    assert isinstance(html_text.main_text(page), str)
+
+
+def test_page_query(spark, tmp_path):
+    spark.createDataFrame([(1, "u", None, "c"), (2, None, f"<article><p>{PROSE}</p></article>", "c"), (2, None, f"<article><p>{PROSE}</p></article>", "c")], "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in html_text.op7_html(spark, str(tmp_path)).collect()), key=lambda r: r[0])
+    text = " ".join(PROSE.split())
+    assert got == [(1, "u", "", 0), (2, None, text, len(text)), (2, None, text, len(text))]
