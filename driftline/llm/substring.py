@@ -166,7 +166,7 @@ def links(windows: DataFrame) -> DataFrame:
     left, right = F.least(F.col("c") - F.col("l"), F.col("f.c") - F.col("f.l")), F.least(F.col("r") - F.col("c"), F.col("f.r") - F.col("f.c"))
     spans = pairs.select(
         F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi")
-    )
+    ).where(F.col("hi") - F.col("lo") + 1 >= _SPAN - _SLACK)  # both windows hold any passage around this centre
     joined = spans.groupBy("first", "doc_id", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return joined.groupBy("first", "doc_id").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("spans"))
 
@@ -229,7 +229,7 @@ def passages(source: np.ndarray, copy: np.ndarray) -> list[tuple[int, int, int,
             continue
         inside = np.arange(lo, hi)[hit[lo:hi]]
         shift = place[inside] - inside
-        near = place[inside][np.abs(shift - np.median(shift)) <= 2 * _SLACK]
+        near = place[inside][np.abs(shift - np.sort(shift)[len(shift) // 2]) <= 2 * _SLACK]
         s, e = int(near.min()), int(near.max()) + 1
         p, q = np.unique(copy[lo:hi]), np.unique(source[s:e])
         common = len(np.intersect1d(p, q, assume_unique=True))
