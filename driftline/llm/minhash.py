@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text becomes a set of word shingles, a signature of 240 min-hashes (one byte of each is kept for
-   comparison) and 40 band keys of 6 min-hashes each. At a similarity of 0.8 a pair misses all bands
+1. Every text becomes a set of word shingles, a signature of 480 min-hashes (one byte of each is kept for
+   comparison) and 40 band keys of 6 of them each. At a similarity of 0.8 a pair misses all bands
    with probability (1 - 0.8^6)^40 = 6e-6.
 2. Texts of equal sets are one class, represented by its smallest id; only representatives go on.
 3. In every bucket (band, key) the smallest member leads. Pairs (leader, member) are linear in the
@@ -35,7 +35,8 @@ from driftline.operators.components import connected_components
 from driftline.plans.storage import materialize
 
 BANDS, ROWS = 40, 6
-HASHES = BANDS * ROWS
+#: Min-hashes; the bands use the first ones, all of them are compared.
+HASHES = 480
 #: Hashes that are compared before the next decision.
 BATCH = 48
 #: Posterior probability of reaching the threshold below which a pair is dropped.
@@ -59,7 +60,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """64-bit keys of the bands, (texts, BANDS); equal only for one band."""
-    s = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    s = signatures[:, : BANDS * ROWS].reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), s.shape[:2]).copy()
     for r in range(ROWS):
         h = mixed(h ^ s[:, :, r]) + np.uint64(0x9E3779B97F4A7C15)
@@ -177,30 +178,34 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
 
 
 def _across(open_members: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components in the buckets of ``key, doc_id, comp, sig``.
+    """Surviving pairs of different components in the buckets of ``key, doc_id, comp, sig, bands``.
 
     A bucket's members are dealt to blocks of about BLOCK by a hash; each block meets each block of
-    its bucket once.
+    its bucket once. A pair that shares several buckets counts in the one of its first common band.
     """
     sizes = open_members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     dealt = open_members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig")).alias("m"))
+    blocks = dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "bands")).alias("m"))
     left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).where("i <= j")
     both = left.join(blocks.select("key", F.col("block").alias("j"), F.col("m").alias("q")), ["key", "j"])
 
     def make():
-        def step(i, j, p, q):
+        def step(key, i, j, p, q):
             found = set()
-            for one, ps, qs in zip((x == y for x, y in zip(i, j)), p, q):
+            for bucket, one, ps, qs in zip(key, (x == y for x, y in zip(i, j)), p, q):
                 ids, jds = [np.array([m["doc_id"] for m in s]) for s in (ps, qs)]
                 ci, cj = [np.array([m["comp"] for m in s]) for s in (ps, qs)]
                 x, y = _bytes(m["sig"] for m in ps), _bytes(m["sig"] for m in qs)
+                bx, by = np.array([m["bands"] for m in ps]), np.array([m["bands"] for m in qs])
                 at, to = np.nonzero(ci[:, None] != cj[None, :])
                 if one:
                     at, to = at[ids[at] < jds[to]], to[ids[at] < jds[to]]
                 for k in range(0, len(at), 4096):
                     u, v = at[k : k + 4096], to[k : k + 4096]
-                    for s in survive(x[u], y[v], threshold):
+                    alive = survive(x[u], y[v], threshold)
+                    same = bx[u[alive]] == by[v[alive]]
+                    first = bx[u[alive], same.argmax(axis=1)]
+                    for s in alive[first == bucket]:
                         a, b = int(ids[u[s]]), int(jds[v[s]])
                         found.add((min(a, b), max(a, b)))
             return batch_of(_PAIR, dict(zip("ab", zip(*found)))) if found else None
@@ -208,7 +213,7 @@ def _across(open_members: DataFrame, threshold: float) -> DataFrame:
         return step
 
     in_small_batches(both)
-    return map_rows(both, ["i", "j", "p", "q"], make, "a long, b long").distinct()
+    return map_rows(both, ["key", "i", "j", "p", "q"], make, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -234,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         "key", "doc_id", F.coalesce("label", "doc_id").alias("comp")
     )
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-    rest = placed.join(mixed_keys, "key", "left_semi").join(reps.select("doc_id", "sig"), "doc_id")
+    rest = placed.join(mixed_keys, "key", "left_semi").join(reps.select("doc_id", "sig", "bands"), "doc_id")
     # pairs that were compared exactly already need no second look
     new = materialize(_across(rest, threshold).join(likely, ["a", "b"], "left_anti"), "likely")
     more = materialize(verify(new, docs, width, num, den), "links")

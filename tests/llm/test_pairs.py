@@ -83,8 +83,8 @@ def test_blocks_across_components(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 3)
     rng = np.random.default_rng(1)
     sig = rng.integers(0, 256, minhash.HASHES, dtype=np.uint8).tobytes()
-    rows = [(1, i, i % 2, sig) for i in range(20)]
-    d = spark.createDataFrame(rows, "key long, doc_id long, comp long, sig binary")
+    rows = [(k, i, i % 2, sig, [1, 5]) for i in range(20) for k in (1, 5)]
+    d = spark.createDataFrame(rows, "key long, doc_id long, comp long, sig binary, bands array<long>")
     got = {tuple(r) for r in minhash._across(d, 0.8).collect()}
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 2 != b % 2}
 
