@@ -142,12 +142,15 @@ _CAND = [("query_id", pa.int64()), ("rep", pa.int64()), ("about", pa.float32())]
 def candidates(queries: DataFrame, index: DataFrame, books: Codebooks, depth: int = DEPTH, metric: str = "ip") -> DataFrame:
     """``query_id, rep`` of the ``depth`` best codes of every query, in ``queries(query_id, v)``."""
 
-    def blocked(df: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    def blocked(df: DataFrame, key: str, size: int, name: str, split: int = 1) -> DataFrame:
         blocks = max(1, -(-df.count() // size))
-        return df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        rows = df.groupBy(F.pmod(F.xxhash64(key), F.lit(blocks)).alias(f"{name}_block")).agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        if split > 1:
+            parts = F.transform(F.sequence(F.lit(0), F.lit(split - 1)), lambda i: F.filter(name, lambda x, k: k % split == i))
+            rows = rows.withColumn(name, F.explode(parts)).where(F.size(name) > 0)
+        return rows.repartition(blocks * split)  # a task for each pair of parts, however many partitions the shuffle had
 
-    q, c = blocked(queries, "query_id", QUERY_BLOCK, "q"), blocked(index, "rep", CODE_BLOCK, "c")
-    q = q.withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.filter("q", lambda x, k: k % 8 == i)))).where("size(q) > 0")
+    q, c = blocked(queries, "query_id", QUERY_BLOCK, "q", 8), blocked(index, "rep", CODE_BLOCK, "c")
     met = q.crossJoin(c)  # every query against every vector, block by block
 
     def run(batches):
