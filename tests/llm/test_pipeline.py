@@ -19,8 +19,7 @@ def test_stages(spark):
     ids = [{r["doc_id"] for r in d.select("doc_id").collect()} for _, d in seen]
     assert all(a >= b for a, b in zip(ids, ids[1:])) and ids[0] and ids[-1] == ids[-2]
     # quality: exactly the rows that fail no rule
-    judged = quality.with_words(seen[0][0]).where(quality.first_failed(quality.RULES).isNull())
-    assert ids[0] == {r[0] for r in judged.select("_row.doc_id").collect()}
+    assert ids[0] == {r["doc_id"] for r in quality.passing(seen[0][0], quality.RULES).collect()}
     # near duplicates: the smallest of each group
     assert ids[1] == {r["doc_id"] for r in minhash.near_duplicates(seen[1][0]).where("kept").collect()}
     # passages: nothing of fifty words repeats afterwards but by a cut that joins two ends
