@@ -38,6 +38,8 @@ _ANYHEX = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]*?)-----END \1-----")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
+#: What encoded keys begin with: a DER sequence (0x30 and a length of 0 to 127 or in 1 to 4 more bytes), or the magic.
+_START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
 
 
 def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> list | None:
@@ -147,7 +149,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
             if data is not None and (is_private_key(data) or is_openssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
     inside = [(a, b) for a, b, _ in out]
-    if "MI" in text or "MH" in text or "MC" in text or "MF" in text or "b3BlbnNzaC1rZXktdjE" in text:
+    if _START.search(text):
         for m in _BASE64.finditer(text):
             if not any(a <= m.start() and m.end() <= b for a, b in inside):
                 # a run may begin before the key does: DER sequences and the magic begin with these letters

@@ -89,6 +89,23 @@ def test_confirmed_keys():
     assert secrets.is_openssh_key(ssh) and not secrets.is_openssh_key(ssh[:-3]) and kinds(text_of(ssh)) == ["openssh"]
 
 
+OID256, OID224 = tlv(6, bytes.fromhex("2a8648ce3d030107")), tlv(6, bytes.fromhex("2b81040021"))
+SHORT_KEYS = {
+    0x31: tlv(0x30, integer(1) + tlv(4, bytes(range(32))) + tlv(0xA0, OID256)),
+    0x41: tlv(0x30, integer(0) + tlv(0x30, tlv(6, bytes.fromhex("2a8648ce3d0201")) + OID256) + tlv(4, tlv(0x30, integer(1) + tlv(4, bytes(range(32)))))),
+    0x47: tlv(0x30, integer(0) + tlv(0x30, tlv(6, b"\x2b\x65\x71")) + tlv(4, tlv(4, bytes(57)))),
+    0x68: tlv(0x30, integer(1) + tlv(4, bytes(range(28))) + tlv(0xA0, OID224) + tlv(0xA1, tlv(3, b"\0\4" + bytes(56)))),
+}
+
+
+@pytest.mark.parametrize("length", SHORT_KEYS)
+def test_keys_of_every_length(length):
+    key = SHORT_KEYS[length]
+    assert key[1] == length and secrets.is_private_key(key)
+    text = f"see {text_of(key)} there"
+    assert kinds(text) == ["der"] and secrets.mask(text) == "see [secret] there"
+
+
 def test_signed_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'x'})}.c2lnbmF0dXJl"
