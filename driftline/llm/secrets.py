@@ -32,10 +32,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: Encoded text long enough for the shortest key, white space at line ends included.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{44,}(?:\r?\n[A-Za-z0-9+/_-]{1,})*={0,2}")
-_ANYHEX = re.compile(r"(?:[0-9a-f]{2}){32,}|(?:[0-9A-F]{2}){32,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----\s([A-Za-z0-9+/=\s]*?)-----END \1-----")
+_LETTERS = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Base64 from a place on, over line ends, which may be escaped as in JSON.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0-9+/_-]+)*")
+_HEXRUN = re.compile(r"[0-9a-f]{64,}|[0-9A-F]{64,}")
+_PADDING = re.compile("=*")
+_ESCAPED = re.compile(r"\\[rn]")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|\\[rn])((?:[A-Za-z0-9+/=\s]|\\[rn])*?)-----END \1-----")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 _SSH = b"openssh-key-v1\0"
 #: What encoded keys begin with: a DER sequence (0x30 and a length of 0 to 127 or in 1 to 4 more bytes), or the magic.
@@ -86,21 +89,97 @@ def is_private_key(data: bytes) -> bool:
     return len(parts) >= 2 and tags[:2] == [2, 4] and parts[0][1] == b"\1" and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
-def is_openssh_key(data: bytes) -> bool:
-    """The magic, then three length-led strings, the number of keys, and length-led keys to the end."""
+def openssh_end(data: bytes) -> int | None:
+    """Where a key ends that the bytes begin with: the magic, three length-led strings, the number of keys, and length-led keys."""
     if not data.startswith(_SSH):
-        return False
+        return None
     at, left = len(_SSH), 3
     while left:
         n = int.from_bytes(data[at : at + 4], "big")
         at, left = at + 4 + n, left - 1
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
+    if not 1 <= keys <= 64:
+        return None
     for _ in range(keys + 1):
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return 1 <= keys <= 64 and at == len(data)
+    return at if at <= len(data) else None
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """Whether the bytes are one key of the OpenSSH form."""
+    return openssh_end(data) == len(data)
+
+
+def der_end(head: bytes) -> int | None:
+    """The whole length of the DER sequence that begins with these bytes, if an integer comes first in it."""
+    if len(head) < 3 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        at += n & 0x7F
+        if not 3 <= at <= 6 or len(head) <= at:
+            return None
+        n = int.from_bytes(head[2:at], "big")
+    return at + n if head[at] == 2 else None
+
+
+def _flat(body: str) -> str:
+    return "".join(_LETTERS.findall(_ESCAPED.sub(" ", body)))
+
+
+def encoded_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in base64, begun wherever a DER sequence or the magic may begin; each ends where its own length says."""
+    out, done = [], 0
+    for m in _START.finditer(text):
+        start = m.start()
+        if start < done:
+            continue
+        ssh = m[0][0] == "b"
+        if ssh:
+            flat = _flat(_BASE64.match(text, start)[0])
+            size = openssh_end(from_base64(flat[: len(flat) // 4 * 4]) or b"") or openssh_end(from_base64(flat) or b"")
+        else:
+            head = _flat(_BASE64.match(text, start, start + 64)[0])[:12]
+            size = der_end(from_base64(head[: len(head) // 4 * 4]) or b"")
+        if not size:
+            continue
+        need = -(-size * 8 // 6)
+        if need > len(text) - start:
+            continue
+        body = _BASE64.match(text, start, start + 6 * need + 64)
+        parts, end = [], start
+        for part in _LETTERS.finditer(_ESCAPED.sub("  ", body[0])):  # as long as before, so places stay
+            take = min(need, part.end() - part.start())
+            parts.append(part[0][:take])
+            need, end = need - take, start + part.start() + take
+            if not need:
+                break
+        data = None if need else from_base64("".join(parts))
+        if data is not None and (ssh or is_private_key(data)):
+            end = _PADDING.match(text, end, end + -size % 3).end()
+            out.append((start, end, "openssh" if ssh else "der"))
+            done = end
+    return out
+
+
+def hex_keys(text: str) -> list[tuple[int, int, str]]:
+    """Keys in hexadecimal digits, begun wherever a DER sequence may begin in a run of them."""
+    out = []
+    for run in _HEXRUN.finditer(text):
+        at = run.start()
+        while (at := text.find("30", at, run.end())) >= 0:
+            head = text[at : min(at + 14, run.end())]
+            size = der_end(bytes.fromhex(head[: len(head) // 2 * 2]))
+            end = at + 2 * size if size else 0
+            if size and end <= run.end() and is_private_key(bytes.fromhex(text[at:end])):
+                out.append((at, end, "der_hex"))
+                at = end
+            else:
+                at += 1
+    return out
 
 
 def from_base64(text: str) -> bytes | None:
@@ -145,22 +224,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     out = []
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = from_base64(m[2])
+            data = from_base64(_ESCAPED.sub("", m[2]))
             if data is not None and (is_private_key(data) or is_openssh_key(data)):
                 out.append((m.start(), m.end(), "pem"))
     inside = [(a, b) for a, b, _ in out]
     if _START.search(text):
-        for m in _BASE64.finditer(text):
-            if not any(a <= m.start() and m.end() <= b for a, b in inside):
-                # a run may begin before the key does: DER sequences and the magic begin with these letters
-                data = from_base64(m[0])
-                if data is not None and is_private_key(data):
-                    out.append((m.start(), m.end(), "der"))
-                elif data is not None and is_openssh_key(data):
-                    out.append((m.start(), m.end(), "openssh"))
-    for m in _ANYHEX.finditer(text) if "30" in text else ():
-        if is_private_key(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), "der_hex"))
+        out += [(a, b, k) for a, b, k in encoded_keys(text) if not any(c <= a and b <= d for c, d in inside)]
+    if "30" in text:
+        out += hex_keys(text)
     if "eyJ" in text:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
     return out

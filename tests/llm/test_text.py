@@ -106,6 +106,24 @@ def test_keys_of_every_length(length):
     assert kinds(text) == ["der"] and secrets.mask(text) == "see [secret] there"
 
 
+def test_keys_inside_longer_runs():
+    for key in (*SHORT_KEYS.values(), SEC1, PKCS8, RSA):
+        flat = text_of(key).rstrip("=")
+        for before, after in (("", "\nThanks"), ("key_", ""), ("path/", " x"), ("ab/", "\nThanks\nBob"), ("", "Thanks")):
+            assert secrets.mask(f"{before}{flat}{after}") == f"{before}[secret]{after}"
+        wrapped = "\n".join(flat[i : i + 40] for i in range(0, len(flat), 40))
+        assert secrets.mask(f"so:\n{wrapped}\nThanks") == "so:\n[secret]\nThanks"
+        assert secrets.confirmed_spans(f"ab1{key.hex()}f") == [(3, 3 + 2 * len(key), "der_hex")]
+        pem = f"-----BEGIN PRIVATE KEY-----\n{text_of(key)}\n-----END PRIVATE KEY-----\n"
+        assert kinds(json.dumps({"private_key": pem})) == ["pem"]
+        assert kinds(json.dumps({"k": wrapped})) == ["der"]
+    word = lambda b: len(b).to_bytes(4, "big") + b
+    for n in range(9, 12):
+        ssh = text_of(b"openssh-key-v1\0" + word(b"none") + word(b"none") + word(b"") + (1).to_bytes(4, "big") + word(b"public") + word(b"p" * n))
+        assert secrets.mask(f"key_{ssh.rstrip('=')}\nThanks") == "key_[secret]\nThanks"
+        assert secrets.mask(f"a {ssh} b") == "a [secret] b"
+
+
 def test_signed_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256', 'typ': 'JWT'})}.{part({'sub': 'x'})}.c2lnbmF0dXJl"
