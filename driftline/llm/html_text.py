@@ -8,8 +8,9 @@ inherit the label of their nearest decided neighbours in the same container: goo
 is equally near, good also inside an article without any decided block.
 
 Blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are bad
-whatever they say: their elements, or the words of their class, id or role, tell. If the page marks an
-article (or a main part) with text in it, blocks elsewhere are bad.
+whatever they say: their elements, or the words of their class, id or role, tell. Names don't count for a
+container that holds most of the page's good text while no marked article stands outside of such containers, unless
+they name reader comments around it. If the page marks an article (or a main part) with text in it, blocks elsewhere are bad.
 
 Defined cases: null html is empty and gives an empty text; pages are read whole, whatever their length;
 repeated rows are treated alike; an empty table gives an empty result. Any white space is one space.
@@ -53,6 +54,8 @@ h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BAD_TAGS = frozenset("nav footer aside form menu dialog button select template svg canvas object audio video head option label".split())
+#: What may stand in the head of a page; anything else ends it.
+HEAD_TAGS = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 
 _BAD_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
@@ -61,6 +64,7 @@ _BAD_NAME = re.compile(
     r"contentinfo|navigation|dialog)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|reactions?)(?=$|[\s_-])", re.IGNORECASE)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?=$|[\s_-])", re.IGNORECASE)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
@@ -70,48 +74,87 @@ _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>]|$)[^>]*>?", re.IGNORECASE) for t in
 GOOD, BAD, OPEN = 1, 0, None
 
 
+class Named:
+    """A container with a bad name: the one around it, its good characters, and whether it is for comments."""
+
+    __slots__ = ("outer", "good", "comments", "bad")
+
+    def __init__(self, outer: "Named | None", comments: bool):
+        self.outer, self.good, self.comments, self.bad = outer, 0, comments, True
+
+
 class Block:
-    __slots__ = ("parts", "linked", "bad", "article", "label", "text")
+    __slots__ = ("parts", "linked", "bad", "article", "named", "label", "text")
 
-    def __init__(self, bad: bool, article: int):
+    def __init__(self, bad: bool, article: int, named: Named | None = None):
         self.parts: list[str] = []
         self.linked = 0
-        self.bad, self.article, self.label, self.text = bad, article, OPEN, ""
+        self.bad, self.article, self.named, self.label, self.text = bad, article, named, OPEN, ""
 
 
 def _is_bad(tag: str, attributes: str, article: int) -> bool:
+    """Whether the element itself is bad or hidden."""
     if tag in BAD_TAGS or tag == "header" and not article:
         return True
+    return bool(attributes) and tag not in ("html", "body") and _HIDDEN.search(attributes) is not None
+
+
+def _bad_name(tag: str, attributes: str, article: int) -> str:
+    """The first name that tells of a bad container, or nothing."""
     if not attributes or tag in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
+        return ""
     for m in _NAMES.finditer(attributes):
         name = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "")
         if _BAD_NAME.search(name) or not article and _HEADER_NAME.search(name):
-            return True
-    return False
+            return name
+    return ""
+
+
+def judge_names(blocks: list[Block], containers: list[Named]) -> None:
+    """Make the blocks bad whose container's name is bad, less those containers that hold most of the good text."""
+    if not any(b.article and not b.bad and b.named is None for b in blocks):
+        total = 0
+        for b in blocks:
+            if not b.bad and classify(b, False) == GOOD:
+                total += len(b.text)
+                if b.named is not None:
+                    b.named.good += len(b.text)
+        for c in reversed(containers):  # inner ones first
+            if c.outer is not None:
+                c.outer.good += c.good
+        for c in containers:
+            c.bad = c.comments or 2 * c.good <= total
+    for c in containers:
+        c.bad = c.bad or c.outer is not None and c.outer.bad
+    for b in blocks:
+        b.bad = b.bad or b.named is not None and b.named.bad
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with their texts, containers and linked characters."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether bad, number of the article around (0: none)
+    stack: list[tuple[str, bool, int, Named | None]] = []  # element, whether bad, number of the article around (0: none), bad name around
+    containers: list[Named] = []
     articles = 0
     linked = False
     now = Block(False, 0)
 
+    def around() -> tuple[bool, int, Named | None]:
+        return stack[-1][1:] if stack else (False, 0, None)
+
     def close() -> None:
         nonlocal now
         if now.parts:
             now.text = " ".join(entities.unescape("".join(now.parts)).split())
             if now.text:
                 out.append(now)
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        now = Block(bad, article)
+        now = Block(*around())
 
     def put(text: str) -> None:
         if text:
+            if stack and stack[-1][0] == "head" and not text.isspace():
+                stack.pop()
+                close()
             now.parts.append(text)
             if linked:
                 now.linked += len(text)
@@ -140,6 +183,9 @@ def blocks_of(page: str) -> list[Block]:
                 pop(tag)
                 close()
             continue
+        if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
+            stack.pop()
+            close()
         if tag in RAW_TAGS:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
@@ -151,25 +197,31 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag == "a":
             linked = True
-        bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        own = _is_bad(tag, m[3], article)
+        bad, article, named = around()
+        own, name = _is_bad(tag, m[3], article), _bad_name(tag, m[3], article)
         if tag in BLOCK_TAGS:
             if stack and stack[-1][0] == "p":
                 stack.pop()
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
-            bad, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+            bad, article, named = around()
             own = own or bad
-            if tag in ("article", "main") or 'articlebody' in m[3].lower():
+        marks = tag in BLOCK_TAGS and (tag in ("article", "main") or "articlebody" in m[3].lower())
+        if name and tag not in VOID_TAGS and (tag in BLOCK_TAGS or not m[3].endswith("/")):
+            named = Named(named, _COMMENT_NAME.search(name) is not None and not marks)
+            containers.append(named)
+        if tag in BLOCK_TAGS:
+            if marks:
                 articles += not own
                 article = 0 if own else article or articles
             if tag not in VOID_TAGS:
-                stack.append((tag, own, article))
+                stack.append((tag, own, article, named))
             close()
-        elif own and tag not in VOID_TAGS and not m[3].endswith("/"):
-            stack.append((tag, True, article))
+        elif (own or name) and tag not in VOID_TAGS and not m[3].endswith("/"):
+            stack.append((tag, own or bad, article, named))
             close()
     close()
+    judge_names(out, containers)
     return out
 
 

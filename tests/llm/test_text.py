@@ -217,6 +217,24 @@ def test_page_without_an_article():
     assert html_text.main_text(page) == f"Head {text} Bit. {text}"
 
 
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><meta charset=utf-8><body><p>{PROSE}</p></body></html>",
+    f"<head><title>T</title><div><p>{PROSE}</p></div>",
+    f"<head><title>T</title>{PROSE}",
+    f"<head><title>T</title><body><article><p>{PROSE}</p></article>",
+    f"<body><div class='content sidebar-right'><p>{PROSE}</p><div class=sidebar><p>{PROSE[:200]}</p></div></div></body>",
+    f"<body><article class='post category-search tag-social'><p>{PROSE}</p></article><footer>{PROSE}</footer></body>",
+    f"<div class='layout has-sidebar'><main><p>{PROSE}</p></main><div class=related><p>{PROSE[:200]}</p></div></div>",
+])
+def test_nothing_around_the_text_takes_it_away(page):
+    assert html_text.main_text(page) == " ".join(PROSE.split())
+
+
+def test_comments_stay_out_however_long():
+    page = f"<p>{PROSE}</p><section class=comments>{f'<article><p>{PROSE}</p></article>' * 9}</section>"
+    assert html_text.main_text(page) == " ".join(PROSE.split())
+
+
 @pytest.mark.parametrize("page", ["", None, "<", "<<<>>>", "<p", "<!--", "<script>", "<a href='", "</p></div>", "&#xfffffff;&bogus;", "<p>" * 5000, "<div>" * 3000 + "x"])
 def test_broken_pages(page):
     assert isinstance(html_text.main_text(page), str)
