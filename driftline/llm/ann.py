@@ -17,6 +17,7 @@ k all are returned; an empty table gives an empty result. Ids must be unique and
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from driftline.llm.common import batch_of, in_small_batches, map_rows, table
 from driftline.plans.storage import materialize
 
-BOOKS, WORDS, BEAM = 12, 64, 4
+BOOKS, WORDS, BEAM = 24, 256, 4
 #: Vectors that the codebooks are fitted to, at most.
 SAMPLE = 10_000
-#: Candidates of a query that are ranked again.
-DEPTH = 300
+#: Candidates of a query that are ranked again: so many up to MANY vectors, then in proportion to the root of their number.
+DEPTH, MANY = 300, 50_000
 #: Vectors and queries in a block.
 CODE_BLOCK, QUERY_BLOCK = 65_536, 2_048
 
@@ -90,6 +91,11 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return Codebooks(np.stack(out))
 
 
+def depth_of(n: int) -> int:
+    """Candidates of a query among ``n`` vectors: as their number grows, more of them lie as near as the codes can tell."""
+    return math.ceil(DEPTH * math.sqrt(max(1.0, n / MANY)))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """``vec_id, v array<double>`` of the vectors that take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -192,7 +198,7 @@ def rerank(cands: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFram
     return map_rows(both, ["query_id", "rep", "v", "w"], make, "query_id long, rep long, score double")
 
 
-def search(rows: DataFrame, is_query, k: int = 20, depth: int = DEPTH, sample: int = SAMPLE) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, depth: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of ``rows(vec_id, embedding)`` by inner product to
     each row for which the condition ``is_query`` holds, itself left out."""
     spark = rows.sparkSession
@@ -207,7 +213,7 @@ def search(rows: DataFrame, is_query, k: int = 20, depth: int = DEPTH, sample: i
     books = fit(np.stack([np.asarray(r["v"], np.float32) for r in part.toLocalIterator()]) if not part.isEmpty() else np.array([classes.first()["v"]], np.float32))
     index = materialize(build_index(classes, books), "index")
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    exact = materialize(rerank(candidates(queries, index, books, depth), queries, classes), "nearest")
+    exact = materialize(rerank(candidates(queries, index, books, depth or depth_of(n)), queries, classes), "nearest")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     near = exact.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query_id", "rep", "score")
     # of a class of copies only the k + 1 smallest ids can be among the nearest (one may be the query)

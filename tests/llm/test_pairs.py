@@ -220,3 +220,15 @@ def test_recall_and_norms(spark):
     assert ((x - books.decode(books.encode(x, 8))) ** 2).sum() <= ((x - books.decode(books.encode(x, 1))) ** 2).sum()
     near = [set(b.tolist()) for b, _ in ann._scored(books, x[:20], books.encode(x), (books.decode(books.encode(x)) ** 2).sum(1), np.ones(500), 100, "l2")]
     assert np.mean([int(np.argsort(((x - x[i]) ** 2).sum(1))[1]) in near[i] for i in range(20)]) > 0.7
+
+
+def test_recall_on_many_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in ann.search(d, "vec_id % 200 = 0").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    best = {q: set(np.argsort(-(x[q] @ x.T))[1:21].tolist()) for q in range(0, 20_000, 200)}
+    assert np.mean([len(got[q] & best[q]) / 20 for q in best]) >= 0.97
+    assert ann.depth_of(100) == ann.DEPTH and ann.depth_of(100 * ann.MANY) == 10 * ann.DEPTH
