@@ -253,9 +253,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
 
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group: the one with the smallest id, with all columns of ``docs``."""
-    kept = near_duplicates(docs, width, num, den).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group: the one with the smallest id, with all columns of ``docs``. Rows without
+    an id can't be told apart by it: they are all kept."""
+    named = docs.where("doc_id IS NOT NULL")
+    kept = near_duplicates(named, width, num, den).where("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def expected_miss(similarity: float) -> float:

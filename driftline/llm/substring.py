@@ -20,7 +20,7 @@ repeat itself, but a stretch that overlaps its own repetition is no passage.
 
 Defined cases: a null text is an empty one; texts of under MIN_WORDS words have no passages; whole texts
 are read; equal texts repeat the one with the smallest id; an empty table gives an empty result.
-Ids must be unique and not null.
+Ids must be unique; rows without an id have no passages and are no source.
 """
 
 from __future__ import annotations
@@ -275,7 +275,7 @@ def _verify(doc, lo, hi, source, source_lo, words, texts):
 
 def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Every passage that repeats an earlier one in ``docs(doc_id, text)``; see above."""
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     found = materialize(links(materialize(window_rows(texts, hashes), "windows")), "links")
     needed = materialize(only_needed(texts, found.select("first").union(found.select("doc_id"))), "texts")
     with_first = found.join(needed.select(F.col("doc_id").alias("first"), "text"), "first")

@@ -44,3 +44,13 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert "pipeline" not in __spark_entry__.oracle_sql()
+
+
+def test_rows_without_an_id_and_repeated_ones_stay(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(70))
+    rows = [(None, text(1)), (None, text(2)), (None, None), (1, text(3)), (2, text(4)), (2, text(4)), (3, text(3))]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        d = stage(spark, d, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in d.collect()), key=str)
+    assert got == sorted(rows[:6], key=str)
