@@ -23,26 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_small_batches(df: DataFrame) -> None:
-    """Let Python operators of this session get batches of :data:`BATCH_ROWS` rows at most."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Run a Python function over batches of ``columns``.
+def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Run a Python function over batches of ``columns``, of ``rows`` rows at most.
 
     ``make()`` is called once in each task and gives a function from lists (one for each column)
-    to a dict of column values; it may build state that is bounded in size.
+    to a dict of column values; it may build state that is bounded in size. The engine bounds its batches
+    by bytes; they are cut further here, so no setting of the session is touched.
     """
-    in_small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = step(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
-                if out is not None:
-                    yield from (out if isinstance(out, list) else [out])
+        for batch in cut(batches, rows):
+            out = step(*(batch.column(i).to_pylist() for i in range(batch.num_columns)))
+            if out is not None:
+                yield from (out if isinstance(out, list) else [out])
         end = getattr(step, "end", None)
         if end is not None and (out := end()) is not None:
             yield out
@@ -50,6 +44,13 @@ def map_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable], sc
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def cut(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most and one at least."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` as UTF-8, A-Z in lower case (bytes know ASCII only)."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -139,6 +140,27 @@ def only_needed(rows: DataFrame, ids: DataFrame, id_column: str = "doc_id", abse
     return rows.withColumn("_mark", mark(id_column)).join(F.broadcast(marks), "_mark", "left_anti" if absent else "left_semi").drop("_mark")
 
 
+#: Rows of one key from which :func:`spread_join` splits it, and into how many parts.
+HOT, PARTS = 1000, 32
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows.join(few, key, how)`` for a ``few`` with one row a key, where a key may hold any share of ``rows``.
+
+    Keys of over HOT rows are dealt to PARTS parts by a hash of the column ``by``; their rows in ``few`` are repeated
+    for each part. What is broadcast are the hot keys' hashes modulo MARKS, so never more than MARKS integers;
+    keys that share a mark with a hot one are dealt alike on both sides. ``rows`` is read twice.
+    """
+    mark = F.pmod(F.xxhash64(F.col(key)), F.lit(MARKS)).cast("int")
+    often = rows.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > HOT) & F.col(key).isNotNull())
+    often = F.broadcast(often.select(mark.alias("_mark")).distinct().withColumn("_hot", F.lit(True)))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(by)), F.lit(PARTS))).otherwise(0).cast("int")
+    left = rows.withColumn("_mark", mark).join(often, "_mark", "left").withColumn("_part", part).drop("_mark", "_hot")
+    every = F.sequence(F.lit(0), F.when(F.col("_hot"), PARTS - 1).otherwise(0))
+    right = few.withColumn("_mark", mark).join(often, "_mark", "left").withColumn("_part", F.explode(every)).drop("_mark", "_hot")
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
 def quiet_threads() -> None:
     """One thread for each Python worker: Spark deals out the cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,8 +9,10 @@
    probability that its similarity reaches the threshold is below ``MISS``. Survivors are compared
    exactly, on the full sets. Links are joined to components.
 4. Buckets whose members are all in one component are done: whatever pairs are left in them cannot
-   change the components. In the others every pair across components is compared, in blocks of
-   bounded size, so no link that joins two components is lost, and none of a group's pairs is emitted.
+   change the components. The members of the others are compared across components, in groups of buckets that
+   share members: dealt to blocks of bounded size, pairs are made, pruned and compared exactly within
+   one task, which keeps count of components and gives only links that join two of them. So no such link is
+   lost, and the links that leave the tasks are fewer than the members.
 5. Components of both kinds of links are the result.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with nothing and
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_signed, batch_of, in_small_batches, map_rows, mixed, only_needed, shingle_set, table, word_hashes, words_of
+from driftline.llm.common import as_signed, batch_of, map_rows, mixed, only_needed, shingle_set, spread_join, table, word_hashes, words_of
 from driftline.operators.components import connected_components
 from driftline.plans.storage import materialize
 
@@ -41,8 +43,12 @@ HASHES = 480
 BATCH = 48
 #: Posterior probability of reaching the threshold below which a pair is dropped.
 MISS = 1e-6
-#: Members of a bucket's block.
-BLOCK = 64
+#: Members and bytes of a block, on the average, in the comparison across components.
+BLOCK, BLOCK_BYTES = 2048, 16_000_000
+#: Members up to which a group of buckets that share members is worked on as a whole; a larger one bucket by bucket.
+GROUP = 16_384
+#: Pairs whose signatures are compared together.
+PAIRS = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _A = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -89,13 +95,16 @@ def least_matches(threshold: float, miss: float = MISS) -> tuple[tuple[int, int]
     return tuple(out)
 
 
-def survive(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of two byte matrices (pairs, HASHES) outlast all batches."""
-    alive = np.arange(len(a))
-    equal = np.zeros(len(a), np.int32)
+def survive(a: np.ndarray, b: np.ndarray, threshold: float, at: np.ndarray | None = None, to: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows a[at], b[to] of two byte matrices (texts, HASHES) outlast all batches; by default row by row."""
+    at = np.arange(len(a)) if at is None else at
+    to = np.arange(len(b)) if to is None else to
+    alive = np.arange(len(at))
+    equal = np.zeros(len(at), np.int32)
     before = 0
     for n, m in least_matches(threshold):
-        equal[alive] += (a[alive, before:n] == b[alive, before:n]).sum(axis=1)
+        x, y = np.ascontiguousarray(a[:, before:n]), np.ascontiguousarray(b[:, before:n])
+        equal[alive] += np.count_nonzero(x[at[alive]] == y[to[alive]], axis=1).astype(np.int32)
         alive = alive[equal[alive] >= m]
         before = n
     return alive
@@ -134,7 +143,7 @@ _PAIR = [("a", pa.int64()), ("b", pa.int64())]
 
 def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` that outlast the comparison of their signatures."""
-    both = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(
+    both = spread_join(pairs, sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a", "b").join(
         sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b"
     )
 
@@ -151,7 +160,7 @@ def _prune(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs whose full sets have den * intersection >= num * union."""
     texts = only_needed(docs.select("doc_id", "text"), pairs.select("a").union(pairs.select("b")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(
+    both = spread_join(pairs, texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a", "b").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b"
     )
 
@@ -177,43 +186,136 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) ->
     return map_rows(both, ["a", "b", "x", "y"], make, "a long, b long")
 
 
-def _across(open_members: DataFrame, threshold: float) -> DataFrame:
-    """Surviving pairs of different components in the buckets of ``key, doc_id, comp, sig, bands``.
+class Joined:
+    """Components of some nodes, joined as links are found."""
 
-    A bucket's members are dealt to blocks of about BLOCK by a hash; each block meets each block of
-    its bucket once. A pair that shares several buckets counts in the one of its first common band.
+    def __init__(self, labels: np.ndarray):
+        self.names, self.of = np.unique(labels, return_inverse=True)
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the nodes were apart until now."""
+        a, b = self.of[i], self.of[j]
+        if a != b:
+            self.of[self.of == b] = a
+        return bool(a != b)
+
+
+def common_counts(ps: list[np.ndarray], qs: list[np.ndarray], at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of ps[at] and qs[to], sets as sorted arrays.
+
+    Pairs that are many for their sets are counted as a product of 0/1 matrices over the values that both sides
+    have (exact: no count reaches 2^24), few ones pair by pair.
+    """
+    rows, row = np.unique(at, return_inverse=True)
+    cols, col = np.unique(to, return_inverse=True)
+    lengths = [np.array([len(s[i]) for i in own]) for s, own in ((ps, rows), (qs, cols))]
+    single = int(lengths[0][row].sum() + lengths[1][col].sum())
+    whole = [np.concatenate([s[i] for i in own]) for s, own in ((ps, rows), (qs, cols))]
+    if single < 4 * sum(map(len, whole)):
+        return np.array([len(np.intersect1d(ps[i], qs[j], assume_unique=True)) for i, j in zip(at.tolist(), to.tolist())], np.int64)
+    shared = np.intersect1d(*whole)
+    if single * 20 < len(rows) * len(cols) * len(shared) / 16:
+        return np.array([len(np.intersect1d(ps[i], qs[j], assume_unique=True)) for i, j in zip(at.tolist(), to.tolist())], np.int64)
+    counts = np.zeros((len(rows), len(cols)), np.float32)
+    places = []
+    for flat, n in zip(whole, lengths):
+        k = np.minimum(np.searchsorted(shared, flat), max(len(shared) - 1, 0))
+        hit = shared[k] == flat if len(shared) else np.zeros(len(flat), bool)
+        places.append((np.repeat(np.arange(len(n)), n)[hit], k[hit]))
+    for low in range(0, len(shared), 4096):
+        sides = []
+        for (owner, k), n in zip(places, lengths):
+            here = (k >= low) & (k < low + 4096)
+            m = np.zeros((len(n), min(4096, len(shared) - low)), np.float32)
+            m[owner[here], k[here] - low] = 1
+            sides.append(m)
+        counts += sides[0] @ sides[1].T
+    return counts[row, col].astype(np.int64)
+
+
+def _links_of(ps: list, qs: list | None, bucket: int | None, threshold: float, num: int, den: int) -> list[tuple[int, int]]:
+    """Verified links between members of two blocks (or of one, if ``qs`` is None) that join components; at most
+    one fewer than there are members. A member has ``doc_id, comp, sig, bands, shingles``."""
+    same = qs is None
+    qs = ps if same else qs
+    ids = [[m["doc_id"] for m in s] for s in (ps, qs)]
+    sigs = [_bytes(m["sig"] for m in s) for s in (ps, qs)]
+    sets = [[np.frombuffer(m["shingles"], np.uint64) for m in s] for s in (ps, qs)]
+    sizes = [np.array([len(x) for x in s]) for s in sets]
+    bands = [np.array([m["bands"] for m in s]) for s in (ps, qs)] if bucket is not None else None
+    n = len(ps)
+    parts = Joined(np.array([m["comp"] for m in (ps if same else ps + qs)]))
+    off = 0 if same else n
+    out = []
+    step = max(1, PAIRS // max(len(qs), 1))
+    for first in range(0, n, step):
+        own = np.arange(first, min(first + step, n))
+        apart = parts.of[own][:, None] != parts.of[off : off + len(qs)][None, :]
+        if same:
+            apart &= own[:, None] < np.arange(n)[None, :]
+        small, large = np.minimum.outer(sizes[0][own], sizes[1]), np.maximum.outer(sizes[0][own], sizes[1])
+        at, to = np.nonzero(apart & (den * small >= num * large))
+        at += first
+        alive = survive(sigs[0], sigs[1], threshold, at, to)
+        at, to = at[alive], to[alive]
+        if bands is not None and len(at):  # a pair counts in the bucket of its first common band
+            x, y = bands[0][at], bands[1][to]
+            k = (x == y).argmax(axis=1)
+            keep = (x[np.arange(len(x)), k] == bucket) & (y[np.arange(len(y)), k] == bucket)
+            at, to = at[keep], to[keep]
+        for low in range(0, len(at), 1 << 15):
+            u, v = at[low : low + (1 << 15)], to[low : low + (1 << 15)]
+            still = parts.of[u] != parts.of[off + v]
+            u, v = u[still], v[still]
+            if not len(u):
+                continue
+            common = common_counts(sets[0], sets[1], u, v)
+            hit = den * common >= num * (sizes[0][u] + sizes[1][v] - common)
+            for i, j in zip(u[hit].tolist(), v[hit].tolist()):
+                if parts.join(i, off + j):
+                    out.append((ids[0][i], ids[1][j]))
+    return out
+
+
+def _across(members: DataFrame, threshold: float, num: int, den: int) -> DataFrame:
+    """``a, b``: links that join components within units, of ``unit, bucket, doc_id, comp, sig, bands, shingles``.
+
+    A unit's members are dealt to blocks of bounded size by a hash, and each block meets each block of its unit once.
+    Pairs are made, pruned and compared exactly within that one task, and only links that join two of its
+    components leave it, so the rows grow with the members. ``bucket`` is null for a whole group.
     """
-    sizes = open_members.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = open_members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    blocks = dealt.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "bands")).alias("m"))
-    left = blocks.select("key", F.col("block").alias("i"), F.col("m").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).where("i <= j")
-    both = left.join(blocks.select("key", F.col("block").alias("j"), F.col("m").alias("q")), ["key", "j"])
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("shingles") + 1000) / BLOCK_BYTES))
+    sizes = members.groupBy("unit").agg(size.cast("int").alias("blocks"))
+    dealt = spread_join(members, sizes, "unit", "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    blocks = dealt.groupBy("unit", "bucket", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "bands", "shingles")).alias("p"))
+    blocks = materialize(blocks, "blocks")
+    left = blocks.select("unit", "bucket", "block", "p", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"))
+    right = blocks.select("unit", F.col("block").alias("to"), F.col("p").alias("q"))
+    alone, two = left.where("block = to"), left.where("block < to").join(right, ["unit", "to"])
+    both = alone.select("bucket", "p", F.lit(None).cast(right.schema["q"].dataType).alias("q")).union(two.select("bucket", "p", "q"))
 
     def make():
-        def step(key, i, j, p, q):
-            found = set()
-            for bucket, one, ps, qs in zip(key, (x == y for x, y in zip(i, j)), p, q):
-                ids, jds = [np.array([m["doc_id"] for m in s]) for s in (ps, qs)]
-                ci, cj = [np.array([m["comp"] for m in s]) for s in (ps, qs)]
-                x, y = _bytes(m["sig"] for m in ps), _bytes(m["sig"] for m in qs)
-                bx, by = np.array([m["bands"] for m in ps]), np.array([m["bands"] for m in qs])
-                at, to = np.nonzero(ci[:, None] != cj[None, :])
-                if one:
-                    at, to = at[ids[at] < jds[to]], to[ids[at] < jds[to]]
-                for k in range(0, len(at), 4096):
-                    u, v = at[k : k + 4096], to[k : k + 4096]
-                    alive = survive(x[u], y[v], threshold)
-                    same = bx[u[alive]] == by[v[alive]]
-                    first = bx[u[alive], same.argmax(axis=1)]
-                    for s in alive[first == bucket]:
-                        a, b = int(ids[u[s]]), int(jds[v[s]])
-                        found.add((min(a, b), max(a, b)))
+        def step(bucket, p, q):
+            found = [x for k, ps, qs in zip(bucket, p, q) for x in _links_of(ps, qs, k, threshold, num, den)]
             return batch_of(_PAIR, dict(zip("ab", zip(*found)))) if found else None
 
         return step
 
-    in_small_batches(both)
-    return map_rows(both, ["key", "i", "j", "p", "q"], make, "a long, b long").distinct()
+    return map_rows(both, ["bucket", "p", "q"], make, "a long, b long", rows=1)
+
+
+def _with_sets(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, shingles``: the full sets, as sorted 64-bit integers, of the documents in ``ids(doc_id)``."""
+    schema = [("doc_id", pa.int64()), ("shingles", pa.binary())]
+
+    def make():
+        def step(own, texts):
+            return batch_of(schema, {"doc_id": own, "shingles": [shingle_set(word_hashes(words_of(t)), width).tobytes() for t in texts]})
+
+        return step
+
+    texts = only_needed(docs.select("doc_id", "text"), ids).join(ids, "doc_id", "left_semi")
+    return map_rows(texts, ["doc_id", "text"], make, "doc_id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -224,34 +326,46 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     """
     threshold = num / den
     sigs = materialize(signatures(docs.select("doc_id", "text"), width), "signatures")
-    classes = sigs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = sigs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = materialize(reps.select("doc_id", "sig", "bands"), "representatives")
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     shared = materialize(members.join(leaders, "key"), "buckets")  # only members of buckets of two and more
-    pairs = shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = materialize(shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     likely = materialize(_prune(pairs, reps, threshold), "likely")
     links = materialize(verify(likely, docs, width, num, den), "links")
     comps = materialize(connected_components(links, src="a", dst="b"), "components")
 
     placed = shared.join(comps.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select(
-        "key", "doc_id", F.coalesce("label", "doc_id").alias("comp")
+        "key", "doc_id", "lead", F.coalesce("label", "doc_id").alias("comp")
     )
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
-    rest = placed.join(mixed_keys, "key", "left_semi").join(reps.select("doc_id", "sig", "bands"), "doc_id")
-    # pairs that were compared exactly already need no second look
-    new = materialize(_across(rest, threshold).join(likely, ["a", "b"], "left_anti"), "likely")
-    more = materialize(verify(new, docs, width, num, den), "links")
-    if not more.isEmpty():
+    rest = materialize(placed.join(mixed_keys, "key", "left_semi"), "open")
+    if not rest.isEmpty():
+        more = materialize(_across(_units(rest, reps, docs, width), threshold, num, den), "links")
         comps = materialize(connected_components(links.union(more), src="a", dst="b"), "components")
 
-    final = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
+    final = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n", "rep", F.coalesce("label", "rep").alias("component"))
+    changed = final.where("n > 1 OR component <> rep")  # any other class is one document that is linked with nothing
+    out = spread_join(sigs.select("doc_id", "n_shingles", "set_key"), changed.select("set_key", "component"), "set_key", "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _units(rest: DataFrame, reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Members of open buckets ``rest(key, doc_id, lead, comp)`` in the units in which they are compared: groups of
+    buckets that share members, or single buckets where a group has over GROUP members."""
+    grouped = connected_components(rest.where("doc_id <> lead"), src="lead", dst="doc_id").select(F.col("node").alias("doc_id"), F.col("label").alias("unit"))
+    grouped = materialize(grouped, "groups")
+    large = grouped.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("unit", F.lit(True).alias("large"))
+    member = rest.join(spread_join(grouped, large, "unit", "doc_id", "left"), "doc_id")
+    bucket = F.when(F.col("large"), F.col("key"))
+    member = member.select("doc_id", "comp", F.coalesce(F.concat(F.lit("bucket "), bucket), F.concat(F.lit("group "), "unit")).alias("unit"), bucket.alias("bucket")).distinct()
+    ids = rest.select("doc_id").distinct()
+    return materialize(member.join(reps.select("doc_id", "sig", "bands"), "doc_id").join(_with_sets(ids, docs, width), "doc_id"), "units")
+
+
 def deduplicate(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group: the one with the smallest id, with all columns of ``docs``. Rows without
     an id can't be told apart by it: they are all kept."""

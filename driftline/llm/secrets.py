@@ -22,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm.common import batch_of, map_rows, table
+from driftline.llm.common import batch_of, cut, map_rows, table
 
 #: In the order in which spans of equal start are listed; the first three are the base ones.
 KINDS = ["assign", "access", "hex", "pem", "der", "der_hex", "openssh", "jwt"]
@@ -268,13 +268,10 @@ def mask(text: str | None, mark: str = "[secret]") -> str | None:
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars`` set anew where that changed it."""
-    from driftline.llm.common import in_small_batches
-
-    in_small_batches(docs)
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             texts = batch.column(names.index("text")).to_pylist()
             new = [mask(t) for t in texts]
             counts = batch.column(names.index("n_chars")).to_pylist()

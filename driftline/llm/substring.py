@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_signed, batch_of, map_rows, mixed, only_needed, shingle_hashes, table, word_hashes, words_of
+from driftline.llm.common import as_signed, batch_of, cut, map_rows, mixed, only_needed, shingle_hashes, table, word_hashes, words_of
 from driftline.plans.storage import materialize
 
 WIDTH = 5
@@ -279,8 +279,8 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     found = materialize(links(materialize(window_rows(texts, hashes), "windows")), "links")
     needed = materialize(only_needed(texts, found.select("first").union(found.select("doc_id"))), "texts")
     with_first = found.join(needed.select(F.col("doc_id").alias("first"), "text"), "first")
-    cut = map_rows(with_first, ["first", "doc_id", "spans", "text"], lambda: _cut, ", ".join(f"{n} {'binary' if n == 'words' else 'long'}" for n, _ in _CUT))
-    both = cut.join(needed, "doc_id")
+    pieces = map_rows(with_first, ["first", "doc_id", "spans", "text"], lambda: _cut, ", ".join(f"{n} {'binary' if n == 'words' else 'long'}" for n, _ in _CUT))
+    both = pieces.join(needed, "doc_id")
     names = [n for n, _ in _CUT]
     schema = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n, _ in _FOUND)
     return map_rows(both, [*names, "text"], lambda: _verify, schema).distinct()
@@ -312,7 +312,7 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     t, n = names.index("text"), names.index("n_chars")
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             texts, cuts = batch.column(t).to_pylist(), batch.column(len(names)).to_pylist()
             new = [without_spans(x, [(s["start_word"], s["end_word"]) for s in c]) if c else x for x, c in zip(texts, cuts)]
             keep = pa.array([not c or _WORD.search(x) is not None for x, c in zip(new, cuts)])

@@ -79,14 +79,59 @@ def test_pruning_spares_pairs_at_the_threshold():
     assert minhash.expected_miss(0.8) < 1e-5
 
 
-def test_blocks_across_components(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
-    rng = np.random.default_rng(1)
-    sig = rng.integers(0, 256, minhash.HASHES, dtype=np.uint8).tobytes()
-    rows = [(k, i, i % 2, sig, [1, 5]) for i in range(20) for k in (1, 5)]
-    d = spark.createDataFrame(rows, "key long, doc_id long, comp long, sig binary, bands array<long>")
-    got = {tuple(r) for r in minhash._across(d, 0.8).collect()}
-    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 2 != b % 2}
+def near_group(n, words_in, changed, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(words_in)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.sample(range(words_in), changed + i % 2):
+            w[k] = rng.choice(words)
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_loose_groups_make_few_links(spark, monkeypatch):
+    """Near copies around and just below the threshold: the links that leave the tasks stay below the members."""
+    emitted = []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: emitted.append(across(*a)) or emitted[-1])
+    for n in (200, 400):
+        texts = near_group(n, 200, 5, n)  # of 2-word shingles about 0.78 to 0.83
+        d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, 2).collect()}
+        assert got == brute_components(texts)
+        assert not emitted or emitted.pop().count() < n
+
+
+def test_blocks_and_buckets_give_the_same(spark, monkeypatch):
+    texts = near_group(120, 80, 4, 5) + [(1000 + i, t) for i, t in near_group(60, 120, 6, 6)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = brute_components(texts)
+    for block, group in ((7, 10_000), (11, 5)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "GROUP", group)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, 2).collect()}
+        assert got == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300))).astype(np.uint64) for _ in range(60)]
+    for at, to in ((np.arange(30), np.arange(30, 60)), [x.ravel() for x in np.indices((60, 60))]):
+        want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(at, to)]
+        assert minhash.common_counts(sets, sets, at, to).tolist() == want
+
+
+def test_hot_keys_join_as_any_other(spark, monkeypatch):
+    from driftline.llm import common
+
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in ("hot", f"k{i % 40}", None)], "key string, id long")
+    few = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "key string, v long")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.spread_join(rows, few, "key", "id", how).collect())) == sorted(map(str, rows.join(few, "key", how).collect()))
 
 
 # ---- passages
