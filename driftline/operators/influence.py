@@ -40,10 +40,15 @@ class Sketch:
         return joined.select("r", "v", F.coalesce("label", "v").alias("label"), F.coalesce("size", F.lit(1)).cast("long").alias("size"))
 
 
-def build_sketch(graph: Graph, samples: int) -> Sketch:
+def component_rows(graph: Graph, samples: int) -> DataFrame:
+    """``r, v, label, size`` of the vertices in components of two and more: components and their sizes, joined when read."""
     comps = connected_components(live_edges(graph, samples), keys=["r"], src="u", dst="v").select("r", F.col("node").alias("v"), "label")
-    sizes = comps.groupBy("r", "label").agg(F.count("*").alias("size"))
-    return Sketch(graph, samples, materialize(comps.join(sizes, ["r", "label"]).select("r", "v", "label", "size"), "sketch"))
+    sizes = materialize(comps.groupBy("r", "label").agg(F.count("*").alias("size")), "sizes")
+    return comps.join(sizes, ["r", "label"]).select("r", "v", "label", "size")
+
+
+def build_sketch(graph: Graph, samples: int) -> Sketch:
+    return Sketch(graph, samples, materialize(component_rows(graph, samples), "sketch"))
 
 
 def influence(sketch: Sketch, covered: DataFrame | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Greedy choice of seeds: again and again the vertex with the largest marginal gain, ties to the smallest
 id; chosen vertices are not chosen again. All three ways give the same seeds.
 
-What comes to the driver is bounded by the seeds: of each seed, its component in each sample.
+What comes to the driver: of each seed its component in each sample (k x samples rows), and in the lazy ways
+those of the vertices that are evaluated, a batch of which doubles only while an old gain exceeds the best new one.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions.coins import P, coin, threshold
 from driftline.operators.graph import Graph
-from driftline.operators.influence import Sketch, build_sketch, influence
-from driftline.plans.storage import materialize
+from driftline.operators.influence import Sketch, component_rows, influence
+from driftline.plans.storage import drop_path, materialize
 
 SCHEMA = "round int, vertex long, gain long, score double"
 
@@ -27,25 +28,33 @@ def _pairs(spark: SparkSession, rows: set[tuple[int, int]]) -> DataFrame:
 
 
 def greedy(sketch: Sketch, k: int) -> DataFrame:
-    """``round, vertex, gain, score``: all gains anew in each round, one aggregate. min(k, n) rows."""
+    """``round, vertex, gain, score`` of min(k, n) seeds. All gains are counted once; after each choice only the members
+    of the components that it newly covers lose theirs."""
     spark = sketch.rows.sparkSession
+    gains = materialize(influence(sketch), "gains")
     seeds: list[tuple[int, int]] = []
     covered: set[tuple[int, int]] = set()
     while len(seeds) < k:
-        gains = influence(sketch, _pairs(spark, covered) if covered else None)
-        if seeds:
-            gains = gains.where(~F.col("v").isin([v for v, _ in seeds]))
         best = gains.orderBy(F.desc("gain"), "v").first()
         if best is None:
             break
         seeds.append((best["v"], best["gain"]))
-        covered |= {(x["r"], x["label"]) for x in sketch.rows.where(F.col("v") == best["v"]).select("r", "label").collect()}
+        if len(seeds) == k:
+            break
+        found = {(x["r"], x["label"]) for x in sketch.rows.where(F.col("v") == best["v"]).select("r", "label").collect()}
+        left = gains.where(F.col("v") != best["v"])
+        if new := found - covered:
+            loss = sketch.rows.join(_pairs(spark, new), ["r", "label"]).groupBy("v").agg(F.sum("size").alias("loss"))
+            left = left.join(loss, "v", "left").select("v", (F.col("gain") - F.coalesce("loss", F.lit(0))).alias("gain"))
+        covered |= new
+        last, gains = gains, materialize(left, "gains")
+        drop_path(spark, last)
     return _table(spark, seeds, sketch.samples)
 
 
 def _lazy(spark: SparkSession, initial: DataFrame, samples: int, k: int, evaluate, batch: int) -> tuple[list[tuple[int, int]], list[int]]:
     """Gains only fall, so old ones bound new ones: the best of a batch is final once no old gain
-    outside of the batch exceeds it. ``evaluate(vertices)`` gives {vertex: {(r, label): size}} and
+    outside of the batch exceeds it, nor equals it at a smaller id. ``evaluate(vertices)`` gives {vertex: {(r, label): size}} and
     counts lone vertices under label -1. Returns seeds and evaluations of each round."""
     initial = initial.orderBy(F.desc("gain"), "v")
     seeds: list[tuple[int, int]] = []
@@ -68,8 +77,8 @@ def _lazy(spark: SparkSession, initial: DataFrame, samples: int, k: int, evaluat
                 n += len(new)
             now = [(-sum(s for c, s in places[v].items() if c not in covered), v) for v, _ in fetched if v not in chosen]
             best = min(now, default=None)
-            bound = fetched[-1][1] if fetched and not ended else -1
-            if best is None and ended or best is not None and (-best[0] > bound or ended):
+            bound = (-fetched[-1][1], fetched[-1][0]) if fetched else (0, -1)  # what comes after it is not better than this
+            if ended or best is not None and best <= bound:
                 break
             size *= 2
         counts.append(n)
@@ -142,9 +151,9 @@ def locate(graph: Graph, samples: int, centers: DataFrame, vertices: list[int])
 def greedy_alpha(graph: Graph, samples: int, k: int, alpha: float, batch: int = 16) -> DataFrame:
     """As :func:`greedy`, with sketch rows of a share ``alpha`` of the vertices only."""
     spark = graph.edges.sparkSession
-    sketch = build_sketch(graph, samples)
-    initial = materialize(influence(sketch), "gains")
-    centers = materialize(sketch.rows.where(is_center(alpha)), "centers")
+    rows = component_rows(graph, samples)  # read twice, never written whole
+    initial = materialize(influence(Sketch(graph, samples, rows)), "gains")
+    centers = materialize(rows.where(is_center(alpha)), "centers")
     lone = "size > 1"  # a lone vertex is covered by itself alone
     seeds, _ = _lazy(spark, initial, samples, k, lambda vs: _of_rows(locate(graph, samples, centers, vs).where(lone), vs, samples), batch)
     return _table(spark, seeds, samples)

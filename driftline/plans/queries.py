@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import coins
@@ -16,6 +16,8 @@ from driftline.sources import graph_files
 
 R, W, K = 16, 0.005, 5
 SIMULATIONS = 16
+#: Weight in the graph with repeated arcs, small enough for single arcs to matter.
+MULTI_W = 0.0005
 ALPHA = 0.1
 
 
@@ -36,7 +38,7 @@ def _weighted(spark: SparkSession, sf_dir: str) -> Graph:
 def _arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A directed graph with loops and repeats: the nation of each supplier to that of each part's buyer."""
     l, s, o, c = (_table(spark, sf_dir, t) for t in ("lineitem", "supplier", "orders", "customer"))
-    return l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).where("l_quantity > 45").select(
+    return l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(
         F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")
     )
 
@@ -51,7 +53,7 @@ def q_cust_supp(spark, d):
 
 
 def q_remap(spark, d):
-    e = _table(spark, d, "lineitem").where("l_quantity > 48").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
+    e = _table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"))
     return graphs.remap_first_seen(e)
 
 
@@ -96,10 +98,6 @@ def q_random_spread(spark, d):
     return cascade.spread(g, cascade.random_seeds(g, K), SIMULATIONS)
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 def _filed(spark, d) -> Graph:
     """The co-purchase graph with dense ids: what files hold. Part keys are 1..n at the driver's tables."""
     g = _copurchase(spark, d)
@@ -154,6 +152,54 @@ def q_load_seeds(spark, d):
     return graph_files.read_seeds(spark, path).select("set_id", F.col("round").cast("long").alias("round"), "vertex")
 
 
+def _slotted(spark, d) -> Graph:
+    """The graph with repeated arcs, its arcs numbered and weighted."""
+    arcs = materialize(graphs.slot_ids(_arcs(spark, d)), "slots")
+    return weights.constant(Graph.of_edges(arcs), MULTI_W)
+
+
+def q_multigraph(spark, d):
+    g = _slotted(spark, d)
+    return cascade.spread(g, cascade.top_degree_seeds(g, 2), SIMULATIONS)
+
+
+def _ranked(spark, g: Graph) -> DataFrame:
+    """``set_id, round, vertex``: the K vertices with most arcs as set 0, those with the largest ids as set 1."""
+    n = g.edges.groupBy(F.col("src").alias("vertex")).agg(F.count("*").alias("n"))
+    top = n.orderBy(F.desc("n"), "vertex").limit(K).select(F.lit(0).cast("long").alias("set_id"), (-F.col("n")).alias("n"), "vertex")
+    last = n.orderBy(F.desc("vertex")).limit(K).select(F.lit(1).cast("long").alias("set_id"), (-F.col("vertex")).alias("n"), "vertex")
+    few = top.union(last)  # 2 K rows
+    return few.withColumn("round", F.row_number().over(Window.partitionBy("set_id").orderBy("n", "vertex")) - 1).select("set_id", "round", "vertex")
+
+
+def q_seed_prefixes(spark, d):
+    g = _weighted(spark, d)
+    path = new_path(spark, "seeds")
+    ranked = materialize(_ranked(spark, g), "ranked")
+    for k in range(2):
+        graph_files.write_seeds(ranked.where(F.col("set_id") == k), f"{path}/{k}")
+    found = graph_files.read_seeds(spark, f"{path}/*")
+    return cascade.evaluate_prefixes(g, found, [2, K], SIMULATIONS).withColumn("mean", F.round("mean", 6))
+
+
+def q_load_knn(spark, d):
+    path = new_path(spark, "knn")
+    graphs.knn(_table(spark, d, "embeddings"), 5).select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+    g = graph_files.read_graph(spark, path, "knn", k=5)
+    return g.edges.crossJoin(F.broadcast(g.vertices.agg(F.count("*").alias("n"))))
+
+
+def q_weight_choice(spark, d):
+    """Every weight model by its name, on one graph."""
+    g = _copurchase(spark, d)
+    chosen = {"constant": {"w": W}, "uniform": {"low": 0.1, "high": 0.3}, "degree": {}, "in_degree": {}}
+    out = None
+    for name, options in chosen.items():
+        e = weights.assign(g, name, **options).edges.agg(F.count("*").alias("n"), F.round(F.sum("w"), 3).alias("total")).select(F.lit(name).alias("model"), "n", "total")
+        out = e if out is None else out.union(e)
+    return out
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_copurchase": lambda s, d: graphs.copurchase(_table(s, d, "lineitem")),
     "graph_supp_part": q_supp_part,
@@ -182,6 +228,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cascade_spread": q_spread,
     "cascade_mean": q_mean_spread,
     "cascade_random_baseline": q_random_spread,
+    "cascade_multigraph": q_multigraph,
+    "cascade_seed_prefixes": q_seed_prefixes,
+    "weight_choice": q_weight_choice,
+    "load_knn": q_load_knn,
     "load_bin": q_load_bin,
     "load_bin_two_block": q_load_bin2,
     "load_adj": q_load_adj,
@@ -196,7 +246,7 @@ _HALF = f"{_IT}, h AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FR
 _SYM = f"{_HALF}, e AS (SELECT src, dst FROM h UNION ALL SELECT dst, src FROM h)"
 _VERT = f"{_SYM}, vert AS (SELECT DISTINCT src AS id FROM e)"
 _ARCS = """a AS (SELECT CAST(s_nationkey AS BIGINT) AS src, CAST(c_nationkey AS BIGINT) AS dst FROM lineitem
- JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity > 45)"""
+ JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 _DEG = f"{_VERT}, g AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src)"
 _LIVE = f"{_VERT}, smp AS (SELECT r FROM range({R}) t(r)), lv AS (SELECT r, src AS u, dst AS v FROM h CROSS JOIN smp WHERE {coins.coin_sql('src', 'dst', 'r')} < {coins.threshold_sql(str(W))})"
 _COMP = f"""{_LIVE}, bb AS (SELECT r, u AS a, v AS b FROM lv UNION ALL SELECT r, v, u FROM lv),
@@ -233,6 +283,14 @@ each_one AS (SELECT i, count(*) AS activated FROM x GROUP BY i)"""
 
 _TOP = f"SELECT id AS vertex FROM g ORDER BY degree DESC, id LIMIT {K}"
 _RANDOM = f"SELECT id AS vertex FROM vert ORDER BY {coins.coin_sql('id', '0', '7')}, id LIMIT {K}"
+_RANKED = f"""tp AS (SELECT 0 AS set_id, id AS vertex, row_number() OVER (ORDER BY degree DESC, id) - 1 AS round FROM g),
+la AS (SELECT 1 AS set_id, id AS vertex, row_number() OVER (ORDER BY id DESC) - 1 AS round FROM g),
+ks AS (SELECT k FROM (VALUES (2), ({K})) t(k)),
+sd AS (SELECT set_id, k, vertex FROM (SELECT * FROM tp UNION ALL SELECT * FROM la) JOIN ks ON round < k)"""
+_KNN = """q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)) AS v FROM embeddings),
+u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM q),
+p AS (SELECT a.vec_id AS src, b.vec_id AS dst, sum(a.x * b.x) AS dot FROM u a JOIN u b ON a.k = b.k AND a.vec_id <> b.vec_id GROUP BY 1, 2),
+kn AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dot DESC, dst) AS n FROM p) WHERE n <= 5)"""
 _UNIFORM = coins.coin_sql("least(src, dst) + 1", "greatest(src, dst) + 1", "0")
 _SLOTS = f"WITH {_SYM} SELECT row_number() OVER (ORDER BY src, dst) - 1 AS edge_id, src, dst FROM e"
 
@@ -240,16 +298,13 @@ ORACLES: dict[str, str] = {
     "graph_copurchase": f"WITH {_SYM} SELECT src, dst FROM e",
     "graph_supp_part": "SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem",
     "graph_cust_supp": "SELECT DISTINCT o_custkey AS src, l_suppkey + 1000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "graph_knn5": """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000000) AS BIGINT)) AS v FROM embeddings),
-u AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM q),
-p AS (SELECT a.vec_id AS src, b.vec_id AS dst, sum(a.x * b.x) AS dot FROM u a JOIN u b ON a.k = b.k AND a.vec_id <> b.vec_id GROUP BY 1, 2)
-SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dot DESC, dst) AS n FROM p) WHERE n <= 5""",
+    "graph_knn5": f"WITH {_KNN} SELECT src, dst FROM kn",
     "symmetrize": f"WITH {_ARCS} SELECT src, dst FROM a WHERE src <> dst UNION SELECT dst, src FROM a WHERE src <> dst",
     "transpose": f"WITH {_ARCS} SELECT dst AS src, src AS dst, count(*) AS n FROM a GROUP BY 1, 2",
     "out_degree": f"WITH {_DEG} SELECT id, degree FROM g",
     "offsets": f"WITH {_DEG} SELECT id, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS \"offset\" FROM g",
     "slot_ids": _SLOTS,
-    "remap_first_seen": """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE l_quantity > 48),
+    "remap_first_seen": """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS pos, l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem),
 f AS (SELECT id, min(seen) AS seen FROM (SELECT 2 * pos AS seen, src AS id FROM a UNION ALL SELECT 2 * pos + 1, dst FROM a) GROUP BY id),
 n AS (SELECT id, row_number() OVER (ORDER BY seen, id) - 1 AS fresh FROM f)
 SELECT pos, s.fresh AS src, d.fresh AS dst FROM a JOIN n s ON s.id = a.src JOIN n d ON d.id = a.dst""",
@@ -270,6 +325,21 @@ SELECT a.id AS src, b.id AS dst FROM p a CROSS JOIN range(1, 4) s(k) JOIN p b ON
     "cascade_spread": f"{_spread_sql(_TOP)} SELECT i, activated FROM each_one",
     "cascade_mean": f"{_spread_sql(_TOP)} SELECT CAST({SIMULATIONS} AS BIGINT) AS simulations, round(sum(activated) / CAST({SIMULATIONS} AS DOUBLE), 6) AS mean FROM each_one",
     "cascade_random_baseline": f"{_spread_sql(_RANDOM)} SELECT i, activated FROM each_one",
+    "cascade_multigraph": f"""WITH RECURSIVE {_ARCS}, e AS (SELECT row_number() OVER (ORDER BY src, dst) - 1 AS slot, src, dst FROM a),
+sd AS (SELECT src AS vertex FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 2),
+x(i, v) AS (SELECT i, vertex FROM range({SIMULATIONS}) t(i) CROSS JOIN sd
+            UNION SELECT x.i, e.dst FROM x JOIN e ON e.src = x.v WHERE {coins.coin_sql('e.slot', '0', f'x.i + {coins.DIRECTED}')} < {coins.threshold_sql(str(MULTI_W))})
+SELECT i, count(*) AS activated FROM x GROUP BY i""",
+    "cascade_seed_prefixes": f"""WITH RECURSIVE {_DEG}, {_RANKED},
+x(set_id, k, i, v) AS (SELECT set_id, k, i, vertex FROM range({SIMULATIONS}) t(i) CROSS JOIN sd
+            UNION SELECT x.set_id, x.k, x.i, e.dst FROM x JOIN e ON e.src = x.v WHERE {coins.coin_sql('e.src', 'e.dst', f'x.i + {coins.DIRECTED}')} < {coins.threshold_sql(str(W))})
+SELECT CAST(set_id AS BIGINT) AS set_id, k, CAST({SIMULATIONS} AS BIGINT) AS simulations, round(count(*) / CAST({SIMULATIONS} AS DOUBLE), 6) AS mean FROM x GROUP BY set_id, k""",
+    "weight_choice": f"""WITH {_DEG}, wt AS (SELECT 'constant' AS model, CAST({W} AS DOUBLE) AS w FROM e
+UNION ALL SELECT 'uniform', CAST(0.1 AS DOUBLE) + {_UNIFORM} / CAST({_P} AS DOUBLE) * CAST(0.2 AS DOUBLE) FROM e
+UNION ALL SELECT 'degree', CAST(2 AS DOUBLE) / (y.degree + z.degree) FROM e JOIN g y ON y.id = src JOIN g z ON z.id = dst
+UNION ALL SELECT 'in_degree', CAST(1 AS DOUBLE) / degree FROM e JOIN g ON g.id = dst)
+SELECT model, count(*) AS n, round(sum(w), 3) AS total FROM wt GROUP BY model""",
+    "load_knn": f"WITH {_KNN} SELECT src, dst, (SELECT count(*) // 5 FROM kn) AS n FROM kn",
     "load_bin": _SLOTS,
     "load_bin_two_block": _SLOTS,
     "load_adj": _SLOTS,

@@ -15,10 +15,12 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, one machine) a new
-    temporary folder, remembered in the session."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a folder of this machine will do for a
+    session of one machine only; it is remembered in the session."""
     found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")

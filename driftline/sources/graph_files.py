@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from driftline.operators.graph import Graph, numbered, offsets, slot_ids, symmetrize, transpose
+from driftline.operators.graph import Graph, numbered, offsets, ring_lattice, slot_ids, symmetrize, transpose
 from driftline.plans.storage import materialize
 
 _HEAD = struct.Struct("<QQQ")
@@ -159,8 +159,34 @@ def read_csr(spark: SparkSession, path: str, two_block: bool = False) -> Graph:
     return Graph(spark.range(n), rows.where("block = 0").select("edge_id", "src", "dst"))
 
 
-def read_graph(spark: SparkSession, path: str, fmt: str, symmetric: bool = False, k: int | None = None) -> Graph:
-    """The graph of a file by format; with ``symmetric``, both arcs of every edge and no loops."""
+#: Formats by the extension of a file's name.
+EXTENSIONS = {"bin": "bin", "adj": "adj"}
+#: Size of the graph that stands for a file of the name ``synthetic``: vertices, and arcs of each.
+SYNTHETIC = (100_000, 63)
+
+
+def format_of(path: str) -> str:
+    """The format that a path's name tells: ``synthetic``, or by extension."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if name == "synthetic":
+        return name
+    found = EXTENSIONS.get(name.rsplit(".", 1)[-1]) if "." in name else None
+    if found is None:
+        raise ValueError(f"{path}: its name tells no format; name one of {', '.join(FORMATS)}")
+    return found
+
+
+FORMATS = ("bin", "bin2", "adj", "edges", "weighted", "knn", "synthetic")
+
+
+def read_graph(spark: SparkSession, path: str, fmt: str | None = None, symmetric: bool = False, k: int | None = None) -> Graph:
+    """The graph of a file by format (without one, as the file's name tells; a path with ``sym`` in it then holds
+    both arcs of every edge); with ``symmetric``, both arcs of every edge and no loops."""
+    marked = fmt is None and "sym" in path
+    fmt = fmt or format_of(path)
+    if fmt == "synthetic":
+        n, degree = SYNTHETIC
+        return Graph(spark.range(n), symmetrize(ring_lattice(spark, n, k or degree)), True)
     if fmt == "bin":
         g = read_csr(spark, path)
     elif fmt == "bin2":
@@ -178,10 +204,33 @@ def read_graph(spark: SparkSession, path: str, fmt: str, symmetric: bool = False
     elif fmt == "weighted":
         g = read_weighted(spark, path)
     else:
-        raise ValueError(f"unknown graph format {fmt!r}; there are bin, bin2, adj, edges, weighted, knn")
+        raise ValueError(f"unknown graph format {fmt!r}; there are {', '.join(FORMATS)}")
+    if marked and not symmetric:
+        return Graph(g.vertices, g.edges, True)
     return Graph(g.vertices, symmetrize(g.edges), True) if symmetric else g
 
 
+def convert_text(spark: SparkSession, path: str, plain: str, both_ways: str, n: int | None = None, k: int | None = None) -> None:
+    """Write the pairs of a text file as two ``bin`` files: as they stand, and symmetrized. Vertices are 0..n-1; n is
+    one more than the greatest id, or, with ``k``, the number of pairs divided by it."""
+    pairs = materialize(read_pairs(spark, path).select("src", "dst"), "pairs")
+    if n is None:
+        n = pairs.count() // k if k else (pairs.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0) + 1
+    vertices = spark.range(n)
+    write_csr(Graph(vertices, pairs), plain)
+    write_csr(Graph(vertices, symmetrize(pairs), True), both_ways)
+
+
+def write_labels(sketch_rows: DataFrame, path: str) -> None:
+    """Component labels as CSV parts with a header: ``r,v,label,size``."""
+    sketch_rows.select("r", "v", "label", "size").write.option("header", True).csv(path)
+
+
+def write_samples(live: DataFrame, path: str) -> None:
+    """Sampled graphs ``r, u, v`` as Parquet, a folder for each sample."""
+    live.write.partitionBy("r").parquet(path)
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """``set_id, round, vertex``: the ids of each line that begins with ``seeds:``, lines in order from 0."""
     lines = _lines(spark, path).where(F.col("value").startswith("seeds:"))

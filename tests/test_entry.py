@@ -13,7 +13,11 @@ def test_names():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["graph_copurchase", "symmetrize", "transpose", "out_degree", "remap_first_seen", "weights_wic", "live_edges", "load_seeds"])
+#: Every query with SQL, less those that do the same as another one at a higher price.
+SLOW = {"greedy_lazy", "greedy_alpha", "components", "component_sizes", "initial_influence", "graph_supp_part", "graph_cust_supp", "weights_uic", "load_bin_two_block"}
+
+
+@pytest.mark.parametrize("name", sorted(set(plans.ORACLES) - SLOW))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

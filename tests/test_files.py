@@ -71,3 +71,44 @@ def test_seeds(spark, tmp_path):
     assert sorted(tuple(r) for r in seeds.collect()) == [(0, 0, 5), (0, 1, 9), (0, 2, 12), (1, 0, 3)]
     assert [r["vertex"] for r in graph_files.prefix_of(seeds, 0, 2).collect()] == [5, 9]
     assert graph_files.seeds_line(seeds.where("set_id = 0")).first()["value"] == "seeds: 5 9 12"
+
+
+def test_formats_by_name(spark, bin5, tmp_path):
+    assert arcs(graph_files.read_graph(spark, str(bin5))) == ARCS
+    marked = tmp_path / "g_sym.bin"
+    marked.write_bytes(bin5.read_bytes())
+    assert graph_files.read_graph(spark, str(marked)).symmetric and not graph_files.read_graph(spark, str(marked), "bin").symmetric
+    with pytest.raises(ValueError):
+        graph_files.read_graph(spark, str(tmp_path / "e.txt"))
+    assert graph_files.format_of("s3://x/synthetic") == "synthetic"
+
+
+def test_text_to_binary(spark, tmp_path):
+    (tmp_path / "e.txt").write_text("# pairs\n0 1\n1 2\n2 2\n0 1\n")
+    graph_files.convert_text(spark, str(tmp_path / "e.txt"), str(tmp_path / "e.bin"), str(tmp_path / "e_sym.bin"))
+    assert arcs(graph_files.read_graph(spark, str(tmp_path / "e.bin"))) == [(0, 1), (0, 1), (1, 2), (2, 2)]
+    assert arcs(graph_files.read_graph(spark, str(tmp_path / "e_sym.bin"))) == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    (tmp_path / "k.txt").write_text("0 1\n1 0\n2 0\n3 1\n")
+    graph_files.convert_text(spark, str(tmp_path / "k.txt"), str(tmp_path / "k.bin"), str(tmp_path / "k_sym.bin"), k=1)
+    assert graph_files.read_graph(spark, str(tmp_path / "k.bin")).vertices.count() == 4
+
+
+def test_from_file_to_seeds_and_spread(spark, bin5, tmp_path, capsys):
+    from driftline.__main__ import main
+    from driftline.operators import influence, weights
+    from driftline.plans.run import Options, choose_seeds
+
+    seeds, report = choose_seeds(spark, str(bin5), Options(k=2, samples=2, weight="constant", weight_options=(("w", 1.0),)))
+    assert sorted(tuple(r)[:3] for r in seeds.collect()) == [(0, 0, 6), (1, 3, 4)]
+    assert {r["step"] for r in report.collect()} == {"graph", "sketch construction", "seed selection", "total"}
+    main(["seeds", str(bin5), "-k", "2", "-R", "2", "--weight", "constant", "--option", "w=1", "--selector", "lazy"])
+    said = capsys.readouterr().out.splitlines()
+    assert said[-2:] == ["influence: 5.00000", "seeds: 0 3"] and said[0].startswith("graph time: ")
+    (tmp_path / "s.txt").write_text("seeds: 0 3\nseeds: 4\n")
+    main(["spread", str(bin5), str(tmp_path / "s.txt"), "-k", "1", "-k", "2", "--simulations", "2", "--weight", "constant", "--option", "w=1"])
+    assert capsys.readouterr().out.splitlines() == ["set 0 k 1 influence: 3.00000", "set 0 k 2 influence: 5.00000", "set 1 k 1 influence: 2.00000", "set 1 k 2 influence: 2.00000"]
+    g = weights.constant(graph_files.read_graph(spark, str(bin5), symmetric=True), 1.0)
+    graph_files.write_samples(influence.live_edges(g, 2), str(tmp_path / "live"))
+    assert spark.read.parquet(str(tmp_path / "live")).count() == 6
+    graph_files.write_labels(influence.build_sketch(g, 2).rows, str(tmp_path / "labels"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "labels")).count() == 10

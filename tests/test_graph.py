@@ -100,3 +100,69 @@ def test_coins_are_alike_in_both_engines(spark):
     assert t.agg(F.sum(coin(F.col("u"), F.col("v"), F.lit(3).cast("long")))).first()[0] == want
     assert t.agg(F.expr(f"sum({coin_sql('u', 'v', '3')})")).first()[0] == want
     assert abs(want / 10_000 / 2**31 - 0.5) < 0.02
+
+
+def test_parallel_arcs_toss_independently(spark):
+    arcs = spark.createDataFrame([(0, 1, 0.5, i) for i in range(20)], "src long, dst long, w double, edge_id long")
+    g = Graph(spark.range(2), arcs)
+    mean = cascade.mean_spread(g, cascade.seeds_of(spark, [0]), 200).first()["mean"]
+    assert mean > 1.99  # one coin for all would give 1.5
+
+
+def test_many_hops_keep_the_plan_small(spark):
+    n = 30
+    g = Graph(spark.range(n), spark.createDataFrame([(i, i + 1, 1.0) for i in range(n - 1)], "src long, dst long, w double"))
+    out = cascade.spread(g, cascade.seeds_of(spark, [0]), 1)
+    assert rows(out) == [(0, n)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") <= cascade.COMPACT
+
+
+def test_prefixes_of_many_sets(spark):
+    g = Graph(spark.range(6), spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0)], "src long, dst long, w double"))
+    sets = spark.createDataFrame([(0, 0, 0), (0, 1, 3), (1, 0, 5), (1, 1, 1)], "set_id long, round int, vertex long")
+    got = rows(cascade.evaluate_prefixes(g, sets, [1, 2, 9], 2), "set_id", "k", "mean")
+    assert got == [(0, 1, 3.0), (0, 2, 5.0), (0, 9, 5.0), (1, 1, 1.0), (1, 2, 3.0), (1, 9, 3.0)]
+
+
+def lazily(components, n, samples, k, batch):
+    """Vertices newly evaluated in each round, from the components as plain sets."""
+    def gain(v, covered):
+        return sum(len(c) for c in components if v in c and id(c) not in covered) + (samples - sum(v in c for c in components)) * (v not in covered)
+
+    order = sorted(range(n), key=lambda v: (-gain(v, set()), v))
+    known, counts, seeds, covered = 0, [], [], set()
+    for _ in range(min(k, n)):
+        size, begun = batch, known
+        while True:
+            want = min(max(size + len(seeds) + 1, 2 * known), n) if known < size + len(seeds) + 1 else known
+            known = max(known, want)
+            best = min(((-gain(v, covered), v) for v in order[:known] if v not in seeds), default=None)
+            last = order[known - 1]
+            if known >= n or best is not None and best <= (-gain(last, set()), last):
+                break
+            size *= 2
+        counts.append(known - begun)
+        if best is None:
+            break
+        seeds.append(best[1])
+        covered |= {id(c) for c in components if best[1] in c} | {best[1]}
+    return counts, seeds
+
+
+def test_evaluations_against_plain_sets(spark):
+    edges = [(i, (i * 7 + 3) % 40) for i in range(40)]
+    s = influence.build_sketch(symmetric(spark, edges, 40, 0.2), 4)
+    parts = {}
+    for r in s.rows.collect():
+        parts.setdefault((r["r"], r["label"]), set()).add(r["v"])
+    counts, seeds = lazily(list(parts.values()), 40, 4, 5, 2)
+    assert [r[1] for r in rows(select.lazy_evaluations(s, 5, batch=2))] == counts
+    assert [r[1] for r in rows(select.greedy_lazy(s, 5, batch=2), "round", "vertex")] == seeds
+
+
+def test_equal_gains_need_few_evaluations(spark):
+    s = influence.build_sketch(symmetric(spark, [(2 * i, 2 * i + 1) for i in range(200)], 400, 1.0), 2)
+    counts = [r[1] for r in rows(select.lazy_evaluations(s, 4, batch=8))]
+    assert sum(counts) <= 32
+    assert rows(select.greedy_lazy(s, 4, batch=8)) == rows(select.greedy(s, 4))
