@@ -10,7 +10,8 @@ is equally near, good also inside an article without any decided block.
 Blocks in menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are bad
 whatever they say: their elements, or the words of their class, id or role, tell. Names don't count for a
 container that holds most of the page's good text while no marked article stands outside of such containers, unless
-they name reader comments around it. If the page marks an article (or a main part) with text in it, blocks elsewhere are bad.
+they name reader comments around it. A marked article (or main part) is a prior: its blocks need fewer stop words, and
+blocks elsewhere are bad, unless a multiple of its text stands there in good blocks.
 
 Defined cases: null html is empty and gives an empty text; pages are read whole, whatever their length;
 repeated rows are treated alike; an empty table gives an empty result. Any white space is one space.
@@ -28,8 +29,10 @@ from driftline.llm.common import batch_of, map_rows, table
 
 #: Characters of a block: under SHORT it is undecided, from LONG on it can be good by its stop words alone.
 SHORT, LONG = 70, 200
-#: Share of words that are stop words.
-STOP_LOW, STOP_HIGH = 0.2, 0.3
+#: Share of words that are stop words; inside of an article less is enough.
+STOP_LOW, STOP_HIGH, STOP_ARTICLE = 0.2, 0.3, 0.1
+#: How many times the good text of its articles a page must have outside of them for articles not to count.
+OUTSIDE = 2
 #: Share of characters in links above which a block is bad, outside and inside of an article.
 LINKS, ARTICLE_LINKS = 0.2, 0.6
 
@@ -57,15 +60,20 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog button select template s
 #: What may stand in the head of a page; anything else ends it.
 HEAD_TAGS = frozenset("head base basefont bgsound link meta title style script noscript noframes template".split())
 
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
-    r"nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget|foot\w*|masthead|topbar|toolbar|comments?|disqus|replies|respond|reactions?|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|tags|pagination|pager|complementary|"
-    r"contentinfo|navigation|dialog)(?=$|[\s_-])",
-    re.IGNORECASE,
-)
-_COMMENT_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond|reactions?)(?=$|[\s_-])", re.IGNORECASE)
-_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?=$|[\s_-])", re.IGNORECASE)
+# Words that name a container in class, id or role; COMMENT_WORDS those of reader comments.
+COMMENT_WORDS = frozenset("comment comments disqus replies respond reaction reactions".split())
+BAD_WORDS = COMMENT_WORDS | frozenset("""
+ad ads adv advert advertisement advertising sponsor sponsored sponsors banner promo promos promotion cookie cookies consent gdpr notice
+notices notification alert popup modal overlay nav navbar navigation menu menus menubar breadcrumb breadcrumbs sidebar side aside widget foot
+footer footers masthead topbar toolbar share sharing social related recommend recommended recommendation recommendations newsletter
+subscribe subscription subscriber signup login search tags pagination pager complementary contentinfo dialog
+""".split())
+#: Words beside which a bad one tells of something else: a layout, a state, a part of the article.
+NEUTRAL_WORDS = frozenset("no not has have with without open closed layout image images single hentry category tag tagged type format status left right enabled disabled".split())
+GOOD_WORDS = frozenset("content article post entry main story body text page hentry".split())
+_HEADER_NAMES = frozenset("header site-header page-header".split())
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_PARTS = re.compile(r"[-_]+")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|$)|<[a-zA-Z][^>]*(?:>|$)""", re.DOTALL)
@@ -99,15 +107,29 @@ def _is_bad(tag: str, attributes: str, article: int) -> bool:
     return bool(attributes) and tag not in ("html", "body") and _HIDDEN.search(attributes) is not None
 
 
-def _bad_name(tag: str, attributes: str, article: int) -> str:
-    """The first name that tells of a bad container, or nothing."""
+def bad_name(value: str, article: int) -> tuple[bool, bool]:
+    """Whether a value of class, id or role names a bad container, and whether one of reader comments.
+
+    Only whole tokens count: a bad word alone, or a compound that ends or begins with one and has no neutral word.
+    Compounds are set aside where another token names the content itself.
+    """
+    tokens = [_PARTS.split(_CAMEL.sub(r"\1-\2", t).lower().strip("-_")) for t in value.split()]
+    content = any(len(t) == 1 and t[0] in GOOD_WORDS for t in tokens)
+    for parts in tokens:
+        hit = next((w for w in (parts[-1], parts[0]) if w in BAD_WORDS), None)
+        if hit and not any(w in NEUTRAL_WORDS for w in parts) and (len(parts) == 1 or not content):
+            return True, hit in COMMENT_WORDS
+        if not article and "-".join(parts) in _HEADER_NAMES:
+            return True, False
+    return False, False
+
+
+def _bad_names(tag: str, attributes: str, article: int) -> tuple[bool, bool]:
+    """The same of an element's attributes."""
     if not attributes or tag in ("html", "body"):
-        return ""
-    for m in _NAMES.finditer(attributes):
-        name = re.sub(r"([a-z])([A-Z])", r"\1-\2", m[1] or m[2] or m[3] or "")
-        if _BAD_NAME.search(name) or not article and _HEADER_NAME.search(name):
-            return name
-    return ""
+        return False, False
+    found = [bad_name(m[1] or m[2] or m[3] or "", article) for m in _NAMES.finditer(attributes)]
+    return any(b for b, _ in found), any(c for _, c in found)
 
 
 def judge_names(blocks: list[Block], containers: list[Named]) -> None:
@@ -133,6 +155,7 @@ def judge_names(blocks: list[Block], containers: list[Named]) -> None:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with their texts, containers and linked characters."""
     out: list[Block] = []
+    open_: dict[str, int] = {}  # how often each element is on the stack
     stack: list[tuple[str, bool, int, Named | None]] = []  # element, whether bad, number of the article around (0: none), bad name around
     containers: list[Named] = []
     articles = 0
@@ -153,17 +176,25 @@ def blocks_of(page: str) -> list[Block]:
     def put(text: str) -> None:
         if text:
             if stack and stack[-1][0] == "head" and not text.isspace():
-                stack.pop()
+                drop()
                 close()
             now.parts.append(text)
             if linked:
                 now.linked += len(text)
 
+    def push(tag: str, *rest) -> None:
+        stack.append((tag, *rest))
+        open_[tag] = open_.get(tag, 0) + 1
+
+    def drop() -> str:
+        tag = stack.pop()[0]
+        open_[tag] -= 1
+        return tag
+
     def pop(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
+        if open_.get(tag):
+            while drop() != tag:
+                pass
 
     at = 0
     while True:
@@ -179,12 +210,12 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 linked = False
-            elif tag in BLOCK_TAGS or any(s[0] == tag for s in stack):
+            elif tag in BLOCK_TAGS or open_.get(tag):
                 pop(tag)
                 close()
             continue
         if stack and stack[-1][0] == "head" and tag not in HEAD_TAGS:
-            stack.pop()
+            drop()
             close()
         if tag in RAW_TAGS:
             end = _RAW_END[tag].search(page, at)
@@ -198,35 +229,41 @@ def blocks_of(page: str) -> list[Block]:
         if tag == "a":
             linked = True
         bad, article, named = around()
-        own, name = _is_bad(tag, m[3], article), _bad_name(tag, m[3], article)
+        own, (name, comments) = _is_bad(tag, m[3], article), _bad_names(tag, m[3], article)
         if tag in BLOCK_TAGS:
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                drop()
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                drop()
             bad, article, named = around()
             own = own or bad
         marks = tag in BLOCK_TAGS and (tag in ("article", "main") or "articlebody" in m[3].lower())
         if name and tag not in VOID_TAGS and (tag in BLOCK_TAGS or not m[3].endswith("/")):
-            named = Named(named, _COMMENT_NAME.search(name) is not None and not marks)
+            named = Named(named, comments and not marks)
             containers.append(named)
         if tag in BLOCK_TAGS:
             if marks:
                 articles += not own
                 article = 0 if own else article or articles
             if tag not in VOID_TAGS:
-                stack.append((tag, own, article, named))
+                push(tag, own, article, named)
             close()
         elif (own or name) and tag not in VOID_TAGS and not m[3].endswith("/"):
-            stack.append((tag, own or bad, article, named))
+            push(tag, own or bad, article, named)
             close()
     close()
     judge_names(out, containers)
     return out
 
 
+def stop_share(text: str) -> float:
+    """Share of a text's words that are stop words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
+
+
 def classify(block: Block, in_article: bool) -> int | None:
-    """First pass."""
+    """First pass: by links, length and stop words; what stands in an article needs less of the last."""
     if block.bad or in_article and not block.article:
         return BAD
     n, share = len(block.text), block.linked / max(len(block.text), 1)
@@ -234,12 +271,11 @@ def classify(block: Block, in_article: bool) -> int | None:
         return BAD
     if n < SHORT:
         return OPEN
+    stops = stop_share(block.text)
     if block.article:
-        return GOOD
+        return GOOD if stops >= STOP_ARTICLE else OPEN
     if "©" in block.text or "all rights reserved" in block.text.lower():
         return BAD
-    words = block.text.lower().split()
-    stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / max(len(words), 1)
     if stops >= STOP_HIGH and n >= LONG:
         return GOOD
     if stops >= STOP_LOW:
@@ -247,6 +283,15 @@ def classify(block: Block, in_article: bool) -> int | None:
     return BAD if n >= LONG else OPEN
 
 
+def articles_count(blocks: list[Block]) -> bool:
+    """Whether the page's marked articles are where its text stands: they have text, and no multiple of it stands elsewhere."""
+    if not any(b.article and not b.bad for b in blocks):
+        return False
+    good = [b for b in blocks if classify(b, False) == GOOD]
+    inside = sum(len(b.text) for b in blocks if b.article and not b.bad)
+    return sum(len(b.text) for b in good if not b.article) <= OUTSIDE * inside
+
+
 def inherit(blocks: list[Block]) -> None:
     """Second pass: undecided blocks get the label of the nearest decided ones of their container."""
     groups: dict[int, list[Block]] = {}
@@ -276,7 +321,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
-    in_article = any(b.article and not b.bad for b in blocks)
+    in_article = articles_count(blocks)
     for b in blocks:
         b.label = classify(b, in_article)
     inherit([b for b in blocks if not (in_article and not b.article)])
