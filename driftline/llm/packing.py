@@ -14,7 +14,8 @@ the rest is cut at powers of two, which need no padding.
 Every task packs what it reads, so there is no shuffle, and ids of sequences are unique by the number
 of the task's partition.
 
-Defined cases: a null text is an empty one (the end id alone); texts are never cut off; repeated rows
+Defined cases: a null text is an empty one (the end id alone); strings of the tokenizer's added tokens become those
+tokens, as the library does it; texts are never cut off; repeated rows
 are packed each; ties of spread go by age; an empty table gives an empty result.
 """
 
@@ -105,8 +106,8 @@ class WordTokens(Generations):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
+        #: Strings that the tokenizer looks for before it splits words; texts that may hold one are encoded whole.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -131,8 +132,12 @@ class WordTokens(Generations):
         return out
 
     def packed(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        words = [ascii_words(t) for t in texts]
-        return [b"".join(v) + end for v in self.values_of(words)]
+        whole = {i for i, t in enumerate(texts) if t and any(a in low for low in (t.lower(),) for a in self.added)}
+        words = [[] if i in whole else ascii_words(t) for i, t in enumerate(texts)]
+        out = [b"".join(v) + end for v in self.values_of(words)]
+        for i in whole:
+            out[i] = self._each([texts[i].encode("utf-8", "replace")])[0] + end
+        return out
 
 
 def ascii_words(text: str | None) -> list[bytes]:

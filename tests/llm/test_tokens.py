@@ -98,9 +98,10 @@ def test_words_are_encoded_as_the_library_does():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     own = packing.word_tokens(WORDS)
-    texts = [*ODD, "a|b | c || |x", "J̌ T̈ K", "İstanbul ΣΑΣ", "Word, word. WORD!"]
+    special = [a.content for a in t.get_added_tokens_decoder().values()]
+    texts = [x for a in special for x in (a, f"one {a} two", f"one{a}two  {a}{a}", f" {a}\n", a.upper(), f"É {a[:-1]}", "word " * 50 + a)]
+    texts += [*ODD, "a|b | c || |x", "J̌ T̈ K", "İstanbul ΣΑΣ", "Word, word. WORD!"]
     for text in texts:
         assert np.frombuffer(own.packed([text], b"")[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
@@ -109,10 +110,9 @@ def test_packing_query(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [None, "", "one two", "same", "same", "w " * 9000] + [" ".join(rng.choice(["river", "town", "xyzzy"]) for _ in range(rng.randrange(900))) for _ in range(60)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = [None, "", "one two", "one <|endoftext|> two", "same", "same", "w " * 9000] + [" ".join(rng.choice(["river", "town", "xyzzy"]) for _ in range(rng.randrange(900))) for _ in range(60)]
+    spark.createDataFrame([(i, x, 7) for i, x in enumerate(texts)], "doc_id long, text string, length int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     rows = packing.op9_packing(spark, str(tmp_path)).collect()
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
