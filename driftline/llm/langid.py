@@ -15,10 +15,9 @@ by n-gram, equal distances by language; repeated rows count as often as they sta
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +28,16 @@ PROFILE = 400
 #: Distinct n-grams that a task may gather before it passes its counts on.
 FLUSH = 500_000
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What parts words: all but letters and the marks that combine with them.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text as integers (21 bits a character, in order) and their counts."""
-    flat = _NOT_LETTERS.sub(" ", text.lower()) if text else ""
-    if not flat or flat == " ":
+    if not text or not _LETTER.search(text):
         return np.empty(0, np.int64), np.empty(0, np.int64)
+    flat = _NOT_LETTERS.sub(" ", text.lower())
     c = np.frombuffer(f" {flat.strip()} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     blank = c == 32
     two = (c[:-1] << 21) | c[1:]
@@ -144,5 +145,3 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = learn(docs.where(~held_out()).where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang"))
     return predict(docs, profiles).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
-
-
