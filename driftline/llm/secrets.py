@@ -2,8 +2,8 @@
 
 Base patterns report what merely looks like a secret. Beyond them, candidates for encoded keys are
 decoded and parsed before anything is reported: base64 or hex text must decode to a DER structure of
-which every nested length is right (private keys of the PKCS#1, PKCS#8 and SEC1 kinds) or to the
-binary form of an OpenSSH key, and a signed token's first part must be a JSON object that names its
+which every nested length is right (private keys of the PKCS#1, DSA, PKCS#8, encrypted PKCS#8 and SEC1 kinds) or to the
+binary form of an OpenSSH key (the body of a PEM block may also be whole blocks of a cipher that its header names), and a signed token's first part must be a JSON object that names its
 algorithm, its second one a JSON object.
 
 Defined cases: a null text is an empty one (no spans); whole texts are read, of any length; repeated
@@ -38,11 +38,16 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]+(?:(?:\r?\n|(?:\\r)?\\n)[\x20\t]*[A-Za-z0
 _HEXRUN = re.compile(r"[0-9a-f]{64,}|[0-9A-F]{64,}")
 _PADDING = re.compile("=*")
 _ESCAPED = re.compile(r"\\[rn]")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\s|\\[rn])((?:[A-Za-z0-9+/=\s]|\\[rn])*?)-----END \1-----")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*+)-----END \1-----")
+#: Lines before the body of a PEM block, and the one that tells how the body is encrypted.
+_PEM_HEADS = re.compile(r"(?:\s|\\[rn])*((?:[A-Za-z][A-Za-z0-9-]*:(?:(?!\\[rn])[^\r\n])*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*)*)")
+_CIPHER = re.compile(r"DEK-Info:\x20*[A-Z0-9-]+,([0-9A-Fa-f]{16,64})(?![0-9A-Fa-f])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}+)\.(eyJ[A-Za-z0-9_-]*+)\.([A-Za-z0-9_-]*+)")
 _SSH = b"openssh-key-v1\0"
 #: What encoded keys begin with: a DER sequence (0x30 and a length of 0 to 127 or in 1 to 4 more bytes), or the magic.
 _START = re.compile(r"M[A-I]|b3BlbnNzaC1rZXktdjEA")
+# Beginnings of the identifiers of password-based encryption (PKCS#5 and PKCS#12).
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
 def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> list | None:
@@ -73,7 +78,7 @@ def der(data: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> lis
 
 
 def is_private_key(data: bytes) -> bool:
-    """Whether the bytes are one key: PKCS#1, PKCS#8 or SEC1, nested lengths and integers checked."""
+    """Whether the bytes are one key: PKCS#1, DSA, PKCS#8 (plain or encrypted) or SEC1, nested lengths and integers checked."""
     if not data or data[0] != 0x30:
         return False
     top = der(data)
@@ -84,6 +89,12 @@ def is_private_key(data: bytes) -> bool:
     if len(parts) >= 9 and tags[:9] == [2] * 9:  # RSA: version, n, e, d, p, q and three more
         n, p, q = (int.from_bytes(parts[i][1], "big") for i in (1, 4, 5))
         return n > 0 and n == p * q
+    if tags == [2] * 6:  # DSA: version, p, q, g, public and private number
+        p, q, g, y, x = (int.from_bytes(v, "big") for _, v in parts[1:])
+        return parts[0][1] == b"\0" and 1 < q < p and (p - 1) % q == 0 and 1 < g < p and 0 < y < p and 0 < x < q
+    if tags == [0x30, 4]:  # encrypted PKCS#8: how, and the bytes
+        how = parts[0][1]
+        return bool(how) and how[0][0] == 6 and how[0][1].startswith(_PBE) and len(parts[1][1]) >= 16
     if len(parts) >= 3 and tags[:3] == [2, 0x30, 4]:  # PKCS#8: version, algorithm, key
         return bool(parts[1][1]) and parts[1][1][0][0] == 6 and len(parts[2][1]) >= 16
     return len(parts) >= 2 and tags[:2] == [2, 4] and parts[0][1] == b"\1" and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
@@ -114,16 +125,17 @@ def is_openssh_key(data: bytes) -> bool:
 
 
 def der_end(head: bytes) -> int | None:
-    """The whole length of the DER sequence that begins with these bytes, if an integer comes first in it."""
-    if len(head) < 3 or head[0] != 0x30:
+    """The whole length of the DER sequence that begins with these bytes, if what comes first in it is a version
+    of one byte or another sequence."""
+    if len(head) < 5 or head[0] != 0x30:
         return None
     n, at = head[1], 2
     if n & 0x80:
         at += n & 0x7F
-        if not 3 <= at <= 6 or len(head) <= at:
+        if not 3 <= at <= 6 or len(head) < at + 3:
             return None
         n = int.from_bytes(head[2:at], "big")
-    return at + n if head[at] == 2 else None
+    return at + n if head[at : at + 2] == b"\2\1" and head[at + 2] < 4 or head[at] == 0x30 else None
 
 
 def _flat(body: str) -> str:
@@ -142,7 +154,7 @@ def encoded_keys(text: str) -> list[tuple[int, int, str]]:
             flat = _flat(_BASE64.match(text, start)[0])
             size = openssh_end(from_base64(flat[: len(flat) // 4 * 4]) or b"") or openssh_end(from_base64(flat) or b"")
         else:
-            head = _flat(_BASE64.match(text, start, start + 64)[0])[:12]
+            head = _flat(_BASE64.match(text, start, start + 64)[0])[:16]
             size = der_end(from_base64(head[: len(head) // 4 * 4]) or b"")
         if not size:
             continue
@@ -171,7 +183,7 @@ def hex_keys(text: str) -> list[tuple[int, int, str]]:
     for run in _HEXRUN.finditer(text):
         at = run.start()
         while (at := text.find("30", at, run.end())) >= 0:
-            head = text[at : min(at + 14, run.end())]
+            head = text[at : min(at + 20, run.end())]
             size = der_end(bytes.fromhex(head[: len(head) // 2 * 2]))
             end = at + 2 * size if size else 0
             if size and end <= run.end() and is_private_key(bytes.fromhex(text[at:end])):
@@ -208,6 +220,29 @@ def is_signed_token(head: str, body: str, signature: str) -> bool:
     return bool(signature) or h["alg"].lower() == "none"
 
 
+def is_pem_body(body: str) -> bool:
+    """Whether what stands between the lines of a PEM block is a key: one that parses, or, where a header names a
+    cipher, whole blocks of it."""
+    heads = _PEM_HEADS.match(body)
+    data = from_base64(_ESCAPED.sub("", body[heads.end() :]))
+    if data is None:
+        return False
+    if cipher := _CIPHER.search(heads[1]):
+        return len(data) >= 16 and len(data) % (16 if len(cipher[1]) == 32 else 8) == 0
+    return is_private_key(data) or is_openssh_key(data)
+
+
+def signed_tokens(text: str) -> list[tuple[int, int, str]]:
+    """Signed tokens, leftmost first; where a candidate fails, the next may begin with its second part."""
+    out, at = [], 0
+    while m := _JWT.search(text, at):
+        found = is_signed_token(m[1], m[2], m[3])
+        at = m.end() if found else m.end(1)
+        if found:
+            out.append((m.start(), m.end(), "jwt"))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Leftmost matches of each base kind that don't overlap; too short ones are dropped after matching."""
     out = []
@@ -223,17 +258,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """Candidates that decode and parse."""
     out = []
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            data = from_base64(_ESCAPED.sub("", m[2]))
-            if data is not None and (is_private_key(data) or is_openssh_key(data)):
-                out.append((m.start(), m.end(), "pem"))
+        out += [(m.start(), m.end(), "pem") for m in _PEM.finditer(text) if is_pem_body(m[2])]
     inside = [(a, b) for a, b, _ in out]
     if _START.search(text):
         out += [(a, b, k) for a, b, k in encoded_keys(text) if not any(c <= a and b <= d for c, d in inside)]
     if "30" in text:
         out += hex_keys(text)
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[1], m[2], m[3])]
+        out += signed_tokens(text)
     return out
 
 
