@@ -144,15 +144,17 @@ def only_needed(rows: DataFrame, ids: DataFrame, id_column: str = "doc_id", abse
 HOT, PARTS = 1000, 32
 
 
-def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows.join(few, key, how)`` for a ``few`` with one row a key, where a key may hold any share of ``rows``.
 
     Keys of over HOT rows are dealt to PARTS parts by a hash of the column ``by``; their rows in ``few`` are repeated
     for each part. What is broadcast are the hot keys' hashes modulo MARKS, so never more than MARKS integers;
-    keys that share a mark with a hot one are dealt alike on both sides. ``rows`` is read twice.
+    keys that share a mark with a hot one are dealt alike on both sides. ``counts(key, n)`` has the rows of each key;
+    without it ``rows`` is read twice.
     """
     mark = F.pmod(F.xxhash64(F.col(key)), F.lit(MARKS)).cast("int")
-    often = rows.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > HOT) & F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    often = counts.where((F.col("n") > HOT) & F.col(key).isNotNull())
     often = F.broadcast(often.select(mark.alias("_mark")).distinct().withColumn("_hot", F.lit(True)))
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(by)), F.lit(PARTS))).otherwise(0).cast("int")
     left = rows.withColumn("_mark", mark).join(often, "_mark", "left").withColumn("_part", part).drop("_mark", "_hot")

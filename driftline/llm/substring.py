@@ -7,16 +7,23 @@ in c..r. The windows are the nodes of the Cartesian tree over the hashes. Only w
 47 shingles), and the tree is built over these alone.
 
 Stretches of two texts that are near-duplicates share the min-hash under most of the ``HASHES`` hashes,
-so their windows meet under the shingle at the centre. Windows that share the centre and the five words
-before or after it are linked to the first of them in the order of (document, position): a star,
-never all pairs. Links of one pair of documents on one diagonal are joined over all hashes to an interval
+so their windows meet under the shingle at the centre. Windows that meet are told apart by the runs of words in
+which they agree around the centre: runs of 47 words at every third place that holds the centre, of 23 words at
+every sixth, of 10 words before and after. Of the windows that share a run, each is linked to the first in the order of
+(document, position): a star, never all pairs. A window goes with the longest runs it shares with any other.
+Two texts that share 50 words share a run of 47 at one place at least, and so does each of them with its leader
+there; so excerpts that are too short for a passage don't hide a longer repetition (unless they hold 47 to 49 words
+of it at every such place). Keys of very many windows are worked on run by run instead of key by key.
+
+Links of one pair of documents on one diagonal are joined over all hashes to an interval
 that bounds the passage. Within it the exact extent is found and verified: shingles in common count +1,
 others -4, stretches of greatest sum are passages if they have MIN_WORDS words and their shingle sets a
 Jaccard similarity of 0.8 or more, else the parts on both sides of their longest gap are tried.
 
 A passage is reported where it repeats, with the place where it stands first: ``doc_id, start_word,
 end_word`` (exclusive), ``n_words, source_doc_id, source_start, source_end, similarity``. A document may
-repeat itself, but a stretch that overlaps its own repetition is no passage.
+repeat itself; a stretch that overlaps its own repetition is cut into pieces as long as its shift, each of which repeats
+the first one; with a shift of under MIN_WORDS it is no passage.
 
 Defined cases: a null text is an empty one; texts of under MIN_WORDS words have no passages; whole texts
 are read; equal texts repeat the one with the smallest id; an empty table gives an empty result.
@@ -32,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import as_signed, batch_of, cut, map_rows, mixed, only_needed, shingle_hashes, table, word_hashes, words_of
-from driftline.plans.storage import materialize
+from driftline.llm.common import as_signed, batch_of, cut, map_rows, mixed, only_needed, shingle_hashes, spread_join, table, word_hashes, words_of
+from driftline.plans.storage import drop_path, materialize
 
 WIDTH = 5
 #: What a shingle that isn't in common costs, low enough for no passage at the least similarity to fall apart.
@@ -46,7 +53,9 @@ SIMILARITY = 0.8
 HASHES = 4
 _SPAN = MIN_WORDS - WIDTH + 1
 _SEEDS = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-#: Shingles that are worked on together; their places fit into the low bits of the ordering.
+#: Shingles that are worked on together; their places fit into the low bits of the ordering. Longer texts are cut
+#: into segments that overlap enough for every stretch of _SPAN to lie in one.
+SEGMENT, _OVERLAP = 1 << 20, 2 * _SPAN
 _PLACE_BITS = 24
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 
@@ -86,11 +95,19 @@ def compact_windows(order: np.ndarray, walls: np.ndarray, span: int) -> tuple[np
     return l[keep], c[keep], r[keep]
 
 
-_WINDOW = [("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("after", pa.int32()), ("before", pa.int32())]
+_WINDOW = [("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]
 
+#: Runs around a centre: (words, places before the centre where they begin), the longest first.
+RUNS = [(47, tuple(range(0, 43, 3))), (23, (0, 6, 12, 18)), (10, (0, 5))]
+_SLOTS = [(words, back, tier) for tier, (words, backs) in enumerate(RUNS) for back in backs]
+#: Windows of one key from which they are worked on run by run.
+HOT_KEY = 1000
+#: Windows whose runs are compared together, at least.
+_TOGETHER = 100_000
 
-def _windows_of(ids: list, rows: list[np.ndarray], hashes: int) -> pa.RecordBatch | None:
-    """Windows of some texts, given as shingles; each is followed by a wall."""
+
+def _windows_of(ids: list, offsets: list[int], lasts: list[bool], rows: list[np.ndarray], hashes: int) -> pa.RecordBatch | None:
+    """Windows of some segments of texts, given as shingles; each is followed by a wall."""
     starts = np.cumsum([0] + [len(r) + 1 for r in rows])
     walls = starts[1:] - 1
     flat = np.zeros(starts[-1], np.uint64)
@@ -103,84 +120,220 @@ def _windows_of(ids: list, rows: list[np.ndarray], hashes: int) -> pa.RecordBatc
         order[walls] = place[walls]
         found.append(compact_windows(order, walls, _SPAN))
     l, c, r = (np.concatenate(x) for x in zip(*found))
-    if not len(c):
-        return None
     by = np.argsort(c, kind="stable")
     l, c, r = l[by], c[by], r[by]
-    first = np.flatnonzero(np.diff(c, prepend=-1))
-    l, c, r = np.minimum.reduceat(l, first), c[first], np.maximum.reduceat(r, first)
+    if len(c):
+        first = np.flatnonzero(np.diff(c, prepend=-1))
+        l, c, r = np.minimum.reduceat(l, first), c[first], np.maximum.reduceat(r, first)
     row = np.searchsorted(starts, c, side="right") - 1
+    off, last = np.array(offsets, np.int64)[row], np.array(lasts, bool)[row]
     s, e = starts[row], walls[row]
-    low = lambda x: (x & np.uint64(0x7FFFFFFF)).astype(np.int32)
-    after = np.where(c + WIDTH < e, low(flat[np.minimum(c + WIDTH, len(flat) - 1)]) | 1, 0)
-    before = np.where(c - WIDTH >= s, low(flat[np.maximum(c - WIDTH, 0)]) | 1, 0)
-    ids = np.array(ids, np.int64)
-    columns = [as_signed(flat[c]), ids[row], (c - s).astype(np.int32), (l - s).astype(np.int32), (r - s).astype(np.int32), after.astype(np.int32), before.astype(np.int32)]
+    # a centre where two segments overlap belongs to one of them
+    own = ((off == 0) | (c - s >= _OVERLAP // 2)) & (last | (e - c > _OVERLAP // 2))
+    if not own.any():
+        return None
+    l, c, r, row, s, off = (x[own] for x in (l, c, r, row, s, off))
+    columns = [as_signed(flat[c]), np.array(ids, np.int64)[row], *((x - s + off).astype(np.int32) for x in (c, l, r))]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _WINDOW)], names=[n for n, _ in _WINDOW])
 
 
 def window_rows(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """``key, doc_id, c, l, r, after, before``: compact windows, by shingles of their document. ``key``
-    is the shingle at the centre; the last two tell the words after and before it (0: none)."""
+    """``key, doc_id, c, l, r``: compact windows, by shingles of their document. ``key`` is the shingle at the centre."""
 
     def make():
         def step(ids, texts):
-            out, some, rows, n = [], [], [], 0
+            out, some, n = [], [], 0
 
             def done():
-                nonlocal some, rows, n
-                if rows and (b := _windows_of(some, rows, hashes)) is not None:
+                nonlocal some, n
+                if some and (b := _windows_of(*map(list, zip(*some)), hashes)) is not None:
                     out.append(b)
-                some, rows, n = [], [], 0
+                some, n = [], 0
 
             for i, t in zip(ids, texts):
                 s = shingle_hashes(word_hashes(words_of(t)), WIDTH)
-                if len(s) < _SPAN:
-                    continue
-                if n + len(s) + 1 > 1 << 18:
-                    done()
-                some.append(i)
-                rows.append(s)
-                n += len(s) + 1
-                if len(s) >= 1 << _PLACE_BITS:
-                    raise ValueError("a text has over 16 million words")
+                for at in range(0, max(len(s) - _OVERLAP, 1), SEGMENT - _OVERLAP):
+                    part = s[at : at + SEGMENT]
+                    if len(part) < _SPAN:
+                        continue
+                    if n + len(part) + 1 > max(1 << 18, SEGMENT + 1):
+                        done()
+                    some.append((i, at, at + SEGMENT >= len(s), part))
+                    n += len(part) + 1
             done()
             return out
 
         return step
 
-    return map_rows(docs, ["doc_id", "text"], make, "key long, doc_id long, c int, l int, r int, after int, before int")
+    return map_rows(docs, ["doc_id", "text"], make, "key long, doc_id long, c int, l int, r int")
 
 
-def links(windows: DataFrame) -> DataFrame:
-    """``first, doc_id, spans array<struct<shift, lo, hi>>``: what may repeat what, for each pair of
-    documents the diagonals (place in doc_id less place in first) with bounds by shingles of doc_id."""
-    often = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = materialize(windows.join(often, "key", "left_semi"), "windows")
-    pairs = None
-    for side in ("after", "before"):
-        own = shared.where(F.col(side) != 0)
-        leads = own.groupBy("key", side).agg(F.min(F.struct("doc_id", "c", "l", "r")).alias("f"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = own.join(leads, ["key", side]).where("doc_id <> f.doc_id OR c <> f.c").select("doc_id", "c", "l", "r", "f")
-        pairs = met if pairs is None else pairs.union(met)
+def run_marks(words: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """16 bits of the hash of each run of words around the centres, (centres, slots); 0 where the text doesn't hold it.
+
+    A run's hash is a polynomial over its words, from prefix sums modulo 2^64.
+    """
+    n = len(words)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).astype(np.uint64))
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]).astype(np.uint64))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * power[:n])])
+    out = np.zeros((len(c), len(_SLOTS)), np.uint16)
+    for k, (length, before, _) in enumerate(_SLOTS):
+        at = c - before
+        ok = (at >= 0) & (at + length <= n)
+        p = at[ok]
+        out[ok, k] = np.maximum(mixed((sums[p + length] - sums[p]) * back[p]) >> np.uint64(48), 1).astype(np.uint16)
+    return out
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MARKED = [*_WINDOW, ("marks", pa.binary())]
+
+
+def _with_marks(by_doc: DataFrame, texts: DataFrame) -> DataFrame:
+    """Windows of ``by_doc(doc_id, w array<struct<key, c, l, r>>)``, one a row, with the marks of their runs."""
+
+    def run(batches):
+        for batch in cut(batches):
+            ids, ws, ts = (batch.column(i) for i in range(3))
+            columns = []
+            for i, t in enumerate(ts.to_pylist()):
+                w = ws[i].values
+                c = w.field("c").to_numpy()
+                marks = run_marks(word_hashes(words_of(t)), c.astype(np.int64))
+                columns.append((w.field("key").to_numpy(), np.full(len(c), ids[i].as_py(), np.int64), c, w.field("l").to_numpy(), w.field("r").to_numpy(), marks))
+            if columns:
+                *plain, marks = (np.concatenate(x) for x in zip(*columns))
+                size = marks.shape[1] * 2
+                fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(marks), [None, pa.py_buffer(np.ascontiguousarray(marks, "<u2"))])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(plain, _MARKED)] + [fixed.cast(pa.binary())], names=[n for n, _ in _MARKED])
+
+    joined = by_doc.join(texts, "doc_id").select("doc_id", "w", "text")
+    return joined.mapInArrow(run, "key long, doc_id long, c int, l int, r int, marks binary")
+
+
+_LINK = [("first", pa.int64()), ("doc_id", pa.int64()), ("shift", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
+
+
+def _stars(key: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
+    """Links of windows of whole keys to the first ones that share their longest runs."""
+    by = np.lexsort((c, doc))
+    key, doc, c, l, r, marks = key[by], doc[by], c[by], l[by], r[by], marks[by]
+    open_ = np.ones(len(key), bool)
+    found: list[np.ndarray] = []
+    for tier in range(len(RUNS)):
+        here = []
+        for k, (_, _, t) in enumerate(_SLOTS):
+            if t != tier:
+                continue
+            own = np.flatnonzero(marks[:, k])
+            run = mixed(key[own].view(np.uint64) ^ (marks[own, k].astype(np.uint64) << np.uint64(32) | np.uint64(k + 1)))
+            order = np.argsort(run, kind="stable")
+            at, run = own[order], run[order]
+            start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.empty(0, np.int64)
+            first = at[np.repeat(start, np.diff(np.append(start, len(at))))]
+            keep = (first != at) & open_[at]
+            f, m = first[keep], at[keep]
+            lo, hi = np.minimum(c[m] - l[m], c[f] - l[f]), np.minimum(r[m] - c[m], r[f] - c[f])
+            wide = lo + hi + 1 >= _SPAN - _SLACK  # both windows hold any passage around this centre
+            here.append(f[wide].astype(np.int64) << 32 | m[wide])
+        pairs = np.unique(np.concatenate(here))
+        open_[pairs & 0xFFFFFFFF] = False
+        found.append(pairs)
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return None
+    f, m = pairs >> 32, pairs & 0xFFFFFFFF
+    lo, hi = c[m] - np.minimum(c[m] - l[m], c[f] - l[f]), c[m] + np.minimum(r[m] - c[m], r[f] - c[f])
+    columns = [doc[f], doc[m], c[m] - c[f], lo, hi]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _LINK)], names=[n for n, _ in _LINK])
+
+
+def _cold_links(marked: DataFrame) -> DataFrame:
+    """``first, doc_id, shift, lo, hi`` from windows with marks, key by key in the tasks that hold them."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def arrays(table):
+            key, doc, c, l, r = (table.column(i).to_numpy() for i in range(5))
+            return key, doc, c, l, r, np.frombuffer(b"".join(table.column(5).to_pylist()), "<u2").reshape(len(key), -1)
+
+        def together(last: bool):
+            nonlocal held
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
+            end = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last key may go on
+            held = table.slice(end).to_batches()
+            return _stars(*arrays(table.slice(0, end))) if end else None
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) >= _TOGETHER and (out := together(False)) is not None:
+                    yield out
+        if held and (out := together(True)) is not None:
+            yield out
+
+    dealt = marked.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "first long, doc_id long, shift int, lo int, hi int")
+
+
+def _hot_links(marked: DataFrame) -> DataFrame:
+    """The same for keys of very many windows: leaders by aggregates that combine before the shuffle, joined back in parts."""
+    slots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(_SLOTS) - 1)), lambda k: F.substring("marks", 2 * k + 1, F.lit(2))))
+    every = marked.select("key", "doc_id", "c", "l", "r", slots.alias("k", "mark")).where(F.col("mark") != F.lit(b"\0\0"))
+    every = materialize(every.select(F.xxhash64("key", "k", "mark").alias("run"), F.element_at(F.array(*(F.lit(t) for _, _, t in _SLOTS)), F.col("k") + 1).alias("tier"), "doc_id", "c", "l", "r"), "runs")
+    counts = materialize(every.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c", "l", "r")).alias("f")).where("n > 1"), "leaders")
+    met = spread_join(every, counts.select("run", "f"), "run", "doc_id", counts=counts).where("doc_id <> f.doc_id OR c <> f.c")
     left, right = F.least(F.col("c") - F.col("l"), F.col("f.c") - F.col("f.l")), F.least(F.col("r") - F.col("c"), F.col("f.r") - F.col("f.c"))
-    spans = pairs.select(
-        F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi")
-    ).where(F.col("hi") - F.col("lo") + 1 >= _SPAN - _SLACK)  # both windows hold any passage around this centre
-    joined = spans.groupBy("first", "doc_id", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    met = materialize(met.where(left + right + 1 >= _SPAN - _SLACK).select("tier", "f", "doc_id", "c", (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi")).distinct(), "met")
+    best = met.groupBy("doc_id", "c").agg(F.min("tier").alias("tier"))
+    return met.join(best, ["doc_id", "c", "tier"]).select(F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), "lo", "hi")
+
+
+def links(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``first, doc_id, spans array<struct<shift, lo, hi>>``: what may repeat what, for each pair of
+    documents the diagonals (place in doc_id less place in first) with bounds by shingles of doc_id.
+
+    A window has a link for each place of its runs at most, so a row's spans are bounded by the length of its document."""
+    counts = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    shared = spread_join(windows, counts, "key", "doc_id", counts=counts)
+    shared = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "l", "r", (F.col("n") > HOT_KEY).alias("hot"))).alias("w")), "windows")
+    needed = materialize(only_needed(texts, shared.select("doc_id")), "texts")
+
+    def of(hot: bool) -> DataFrame:
+        some = shared.select("doc_id", F.filter("w", lambda x: x["hot"] == hot).alias("w")).where(F.size("w") > 0)
+        return _with_marks(some, needed)
+
+    found = _cold_links(of(False))
+    if not counts.where(F.col("n") > HOT_KEY).isEmpty():
+        found = found.union(_hot_links(of(True)))
+    joined = found.groupBy("first", "doc_id", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return joined.groupBy("first", "doc_id").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("spans"))
 
 
 def clusters(spans: list[tuple[int, int, int]], slack: int = _SLACK) -> list[tuple[int, int, int, int]]:
-    """(lo, hi, least shift, greatest shift): spans that overlap or nearly touch, on diagonals close together."""
+    """(lo, hi, least shift, greatest shift): spans that overlap or nearly touch, on diagonals close together.
+
+    Clusters still within reach are found by the bands of diagonals they cover, so the work grows with the spans."""
     out: list[list[int]] = []
+    near: dict[int, list[int]] = {}  # band of diagonals -> the last cluster that covers it
+    width = 2 * slack
     for shift, lo, hi in sorted(spans, key=lambda s: (s[1], s[2], s[0])):
-        for c in out:
-            if lo <= c[1] + slack + WIDTH and c[2] - slack <= shift <= c[3] + slack:
-                c[0], c[1], c[2], c[3] = min(c[0], lo), max(c[1], hi), min(c[2], shift), max(c[3], shift)
+        found = None
+        for band in range((shift - slack) // width, (shift + slack) // width + 1):
+            c = near.get(band)
+            if c is not None and lo <= c[1] + slack + WIDTH and c[2] - slack <= shift <= c[3] + slack:
+                found = c
                 break
+        if found is None:
+            found = [lo, hi, shift, shift]
+            out.append(found)
         else:
-            out.append([lo, hi, shift, shift])
+            found[0], found[1], found[2], found[3] = min(found[0], lo), max(found[1], hi), min(found[2], shift), max(found[3], shift)
+        near[shift // width] = found
     return [tuple(c) for c in out]
 
 
@@ -267,18 +420,38 @@ def _verify(doc, lo, hi, source, source_lo, words, texts):
         for s, e, x, y, similarity in passages(there, own[a : b + 1]):
             start, end = a + s, a + e + WIDTH - 1
             fs, fe = fa + x, fa + y + WIDTH - 1
-            if f == d and fe > start:  # a passage can't stand first where it overlaps itself
+            if f == d and fe > start:
+                rows += _pieces(d, own, start, end, fs)
                 continue
             rows.append((d, start, end, end - start, f, fs, fe, similarity))
     return batch_of(_FOUND, dict(zip([n for n, _ in _FOUND], zip(*rows)))) if rows else None
 
 
+def _pieces(doc: int, own: np.ndarray, start: int, end: int, first: int) -> list[tuple]:
+    """A stretch of words start..end that overlaps its source (from ``first`` on) as pieces of the length of the shift."""
+    shift, rows = start - first, []
+    if shift < MIN_WORDS:
+        return rows
+    source = np.unique(own[first : first + shift - WIDTH + 1])
+    for at in range(start, end - MIN_WORDS + 1, shift):
+        to = min(at + shift, end)
+        there = source if to - at == shift else np.unique(own[first : first + to - at - WIDTH + 1])
+        here = np.unique(own[at : to - WIDTH + 1])
+        common = len(np.intersect1d(here, there, assume_unique=True))
+        similarity = common / (len(here) + len(there) - common)
+        if similarity >= SIMILARITY:
+            rows.append((doc, at, to, to - at, doc, first, first + to - at, similarity))
+    return rows
+
+
 def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Every passage that repeats an earlier one in ``docs(doc_id, text)``; see above."""
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = materialize(links(materialize(window_rows(texts, hashes), "windows")), "links")
+    windows = materialize(window_rows(texts, hashes), "windows")
+    found = materialize(links(windows, texts), "links")
+    drop_path(docs.sparkSession, windows)
     needed = materialize(only_needed(texts, found.select("first").union(found.select("doc_id"))), "texts")
-    with_first = found.join(needed.select(F.col("doc_id").alias("first"), "text"), "first")
+    with_first = spread_join(found, needed.select(F.col("doc_id").alias("first"), "text"), "first", "doc_id")
     pieces = map_rows(with_first, ["first", "doc_id", "spans", "text"], lambda: _cut, ", ".join(f"{n} {'binary' if n == 'words' else 'long'}" for n, _ in _CUT))
     both = pieces.join(needed, "doc_id")
     names = [n for n, _ in _CUT]

@@ -192,18 +192,106 @@ def test_repeated_passages(spark, passages):
     assert {g[0] for g in got} == {1, 2, 5, 7, 11}
 
 
-def test_exact_repeats_are_all_covered(spark):
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    covered, seen = {}, {}
-    for r in substring.repeated_passages(d).collect():
+def uncovered(rows, found):
+    """Runs of 50 words that an earlier document holds too, but no passage found covers: (runs, of how many)."""
+    covered, seen, lost, n = {}, {}, [], 0
+    for r in found:
         covered.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
-    for r in sorted(d.collect()):
-        w = (r["text"] or "").encode().lower().split()
+    for i, text in sorted(rows):
+        w = (text or "").encode().lower().split()
         for k in range(len(w) - 49):
-            g = tuple(w[k : k + 50])
-            first = seen.setdefault(g, r["doc_id"])
-            if first != r["doc_id"]:
-                assert set(range(k, k + 50)) <= covered[r["doc_id"]]
+            first = seen.setdefault(tuple(w[k : k + 50]), i)
+            if first != i:
+                n += 1
+                if not set(range(k, k + 50)) <= covered.get(i, set()):
+                    lost.append((i, k))
+    return lost, n
+
+
+def test_exact_repeats_are_all_covered(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    lost, n = uncovered([tuple(r) for r in d.collect()], substring.repeated_passages(d).collect())
+    assert n and not lost
+
+
+def sharing_triples(parts, seed, times):
+    """A holds two parts of a passage that B and C hold whole; other documents hold edited variants of it."""
+    rng = random.Random(seed)
+    words = [f"t{i}" for i in range(6000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    docs = []
+    for _ in range(times):
+        p = make(sum(parts))
+        cut = parts[0]
+        edited = list(p)
+        for k in range(7, len(p), 14):
+            edited[k] = "other"
+        for x in (p[:cut], p[cut:] if parts[1] > 5 else p[-parts[0] :], edited, p, p):
+            docs.append(make(rng.randrange(5, 40)) + x + make(rng.randrange(5, 40)))
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("hot", [1000, 0])
+def test_parts_in_earlier_documents_hide_no_repeat(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_KEY", hot)
+    rows = []
+    for k, parts in enumerate([(40, 20), (47, 8), (30, 30), (49, 11)]):
+        rows += [(10_000 * k + i, t) for i, t in sharing_triples(parts, k, 50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lost, n = uncovered(rows, substring.repeated_passages(d).collect())
+    assert n >= 50 * (11 + 6 + 11 + 11) and not lost
+
+
+def test_texts_longer_than_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(substring, "SEGMENT", 300)
+    rng = random.Random(12)
+    words = [f"s{i}" for i in range(9000)]
+    make = lambda n: [rng.choice(words) for _ in range(n)]
+    a = make(1500)
+    rows = [(1, " ".join(a)), (2, " ".join(make(100) + a[200:1300] + make(30))), (3, " ".join(make(77) + a[560:640]))]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    lost, n = uncovered(rows, found)
+    assert n and not lost and {(r["doc_id"], r["start_word"], r["end_word"]) for r in found} >= {(2, 100, 1200)}
+
+
+def test_a_paragraph_repeated_in_a_row(spark):
+    rng = random.Random(13)
+    p = [f"r{i}" for i in range(60)]
+    rows = [(1, " ".join(p * 7)), (2, " ".join(["x"] * 400)), (3, " ".join([f"y{rng.randrange(99999)}" for _ in range(90)]))]
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {k for r in found if r["doc_id"] == 1 for k in range(r["start_word"], r["end_word"])}
+    assert covered == set(range(60, 420)) and {r["doc_id"] for r in found} == {1}
+
+
+def test_runs_and_clusters():
+    from driftline.llm.common import word_hashes
+
+    rng = np.random.default_rng(4)
+    w = [b"u%d" % x for x in rng.integers(0, 9000, 200)]
+    other = [b"v%d" % x for x in rng.integers(0, 9000, 200)]
+    for i, n in ((0, 60), (30, 49), (90, 110)):  # words i..i+n agree
+        two = other[:i] + w[i : i + n] + other[i + n :]
+        a, b = (substring.run_marks(word_hashes(x), np.arange(196)) for x in (w, two))
+        for k, (length, before, _) in enumerate(substring._SLOTS):
+            for c in range(196):
+                inside = i <= c - before and c - before + length <= i + n
+                whole = c - before >= 0 and c - before + length <= 200
+                assert (a[c, k] != 0) == whole and (a[c, k] == b[c, k]) == (inside or not whole)
+    spans = [(s, 40 * s, 40 * s + 60) for s in range(0, 100_000, 25)]
+    assert len(substring.clusters(spans)) == len(spans)
+    assert substring.clusters([(5, 0, 60), (9, 50, 120), (40, 55, 130), (7, 400, 460)]) == [(0, 120, 5, 9), (55, 130, 40, 40), (400, 460, 7, 7)]
+
+
+def test_windows_of_one_key_meet_as_run_by_run(spark, passages):
+    """Both ways of linking give the same passages."""
+    _, d = passages
+    want = sorted(map(str, substring.repeated_passages(d).collect()))
+    hot = substring.HOT_KEY
+    try:
+        substring.HOT_KEY = 0
+        assert sorted(map(str, substring.repeated_passages(d).collect())) == want
+    finally:
+        substring.HOT_KEY = hot
 
 
 def test_cutting(spark, passages):
