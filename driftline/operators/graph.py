@@ -115,28 +115,35 @@ def bipartite(pairs: DataFrame, left: str, right: str, shift: int = 1_000_000) -
 
 def knn(embeddings: DataFrame, k: int = 5, block: int = 512) -> DataFrame:
     """``src, dst`` of the k nearest by the inner product of components times 10^6, rounded down to
-    integers (so it is exact); equal ones go to the smaller id. Rows meet in blocks."""
+    integers (so it is exact); equal ones go to the smaller id. Blocks of rows meet, each pair in one product, and
+    k rows of each source leave it."""
     import pandas as pd
 
     rows = embeddings.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1_000_000).cast("long")).alias("v"))
     n = rows.count()
     blocks = max(1, -(-n // block))
-    grouped = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs"))
-    both = grouped.toDF("qb", "qi", "qv").crossJoin(grouped.toDF("cb", "ci", "cv"))
+    grouped = rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
+    both = grouped.toDF("qb", "q").crossJoin(grouped.toDF("cb", "c"))
 
     def run(batches):
         import numpy as np
 
+        def arrays(block):
+            ids = np.array([r["vec_id"] for r in block], np.int64)
+            by = np.argsort(ids, kind="stable")
+            return ids[by], np.array([r["v"] for r in block], np.int64)[by]
+
         for batch in batches:
-            for qi, qv, ci, cv in zip(batch.qi, batch.qv, batch.ci, batch.cv):
-                q, c = np.stack(list(qv)).astype(np.int64), np.stack(list(cv)).astype(np.int64)
-                qi, ci = np.asarray(qi), np.asarray(ci)
-                dot = q @ c.T
-                for row, i in zip(dot, qi):
-                    other = ci != i
-                    by = np.lexsort((ci[other], -row[other]))[:k]
-                    yield pd.DataFrame({"src": i, "dst": ci[other][by], "dot": row[other][by]})
-
-    found = both.select("qi", "qv", "ci", "cv").mapInPandas(run, "src long, dst long, dot long")
+            for left, right in zip(batch.q, batch.c):
+                (qi, q), (ci, c) = arrays(left), arrays(right)
+                # in floating point where no sum can leave the exact integers
+                small = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53
+                dot = (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64) if small else q @ c.T
+                by = np.argsort(-dot, axis=1, kind="stable")[:, : k + 1]  # ids ascend, so ties do; one may be the source itself
+                src, dst = np.repeat(qi, by.shape[1]), ci[by].ravel()
+                found = pd.DataFrame({"src": src, "dst": dst, "dot": np.take_along_axis(dot, by, 1).ravel()})
+                yield found[src != dst]
+
+    found = both.select("q", "c").mapInPandas(run, "src long, dst long, dot long")
     order = Window.partitionBy("src").orderBy(F.desc("dot"), "dst")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("src", "dst")
