@@ -10,10 +10,12 @@ Stretches of two texts that are near-duplicates share the min-hash under most of
 so their windows meet under the shingle at the centre. Windows that meet are told apart by the runs of words in
 which they agree around the centre: runs of 47 words at every third place that holds the centre, of 23 words at
 every sixth, of 10 words before and after. Of the windows that share a run, each is linked to the first in the order of
-(document, position): a star, never all pairs. A window goes with the longest runs it shares with any other.
+(document, position), or to the one before it if all until then are in its own document: a star, never all pairs. A window goes with the longest runs it shares with any other.
 Two texts that share 50 words share a run of 47 at one place at least, and so does each of them with its leader
 there; so excerpts that are too short for a passage don't hide a longer repetition (unless they hold 47 to 49 words
-of it at every such place). Keys of very many windows are worked on run by run instead of key by key.
+of it at every such place). Keys of very many windows are worked on run by run instead of key by key. Of a
+document's links those go on that are needed for each of its words with a run of MIN_WORDS to have a source, and
+all whose centre has none. Equal texts are one beforehand: a copy repeats the one with the smallest id as a whole.
 
 Links of one pair of documents on one diagonal are joined over all hashes to an interval
 that bounds the passage. Within it the exact extent is found and verified: shingles in common count +1,
@@ -22,8 +24,8 @@ Jaccard similarity of 0.8 or more, else the parts on both sides of their longest
 
 A passage is reported where it repeats, with the place where it stands first: ``doc_id, start_word,
 end_word`` (exclusive), ``n_words, source_doc_id, source_start, source_end, similarity``. A document may
-repeat itself; a stretch that overlaps its own repetition is cut into pieces as long as its shift, each of which repeats
-the first one; with a shift of under MIN_WORDS it is no passage.
+repeat itself; a stretch that overlaps its own repetition is cut into pieces as long as its shift (or the least multiple
+of it that has MIN_WORDS), each of which repeats the first one; fewer than WIDTH words over and over are no passage.
 
 Defined cases: a null text is an empty one; texts of under MIN_WORDS words have no passages; whole texts
 are read; equal texts repeat the one with the smallest id; an empty table gives an empty result.
@@ -100,8 +102,10 @@ _WINDOW = [("key", pa.int64()), ("doc_id", pa.int64()), ("c", pa.int32()), ("l",
 #: Runs around a centre: (words, places before the centre where they begin), the longest first.
 RUNS = [(47, tuple(range(0, 43, 3))), (23, (0, 6, 12, 18)), (10, (0, 5))]
 _SLOTS = [(words, back, tier) for tier, (words, backs) in enumerate(RUNS) for back in backs]
+_SLOT_LO = np.array([-back for _, back, _ in _SLOTS], np.int64)
+_SLOT_HI = np.array([words - back for words, back, _ in _SLOTS], np.int64)
 #: Windows of one key from which they are worked on run by run.
-HOT_KEY = 1000
+HOT_KEY = 65_536
 #: Windows whose runs are compared together, at least.
 _TOGETHER = 100_000
 
@@ -213,7 +217,8 @@ def _with_marks(by_doc: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "key long, doc_id long, c int, l int, r int, marks binary")
 
 
-_LINK = [("first", pa.int64()), ("doc_id", pa.int64()), ("shift", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())]
+_LINK = [("first", pa.int64()), ("doc_id", pa.int64()), ("shift", pa.int32()), ("c", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("run_lo", pa.int32()), ("run_hi", pa.int32())]
+_LINK_SCHEMA = "first long, doc_id long, shift int, c int, lo int, hi int, run_lo int, run_hi int"
 
 
 def _stars(key: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np.ndarray, marks: np.ndarray) -> pa.RecordBatch | None:
@@ -221,9 +226,9 @@ def _stars(key: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np
     by = np.lexsort((c, doc))
     key, doc, c, l, r, marks = key[by], doc[by], c[by], l[by], r[by], marks[by]
     open_ = np.ones(len(key), bool)
-    found: list[np.ndarray] = []
+    found, cores = [], []
     for tier in range(len(RUNS)):
-        here = []
+        here, slots = [], []
         for k, (_, _, t) in enumerate(_SLOTS):
             if t != tier:
                 continue
@@ -233,25 +238,46 @@ def _stars(key: np.ndarray, doc: np.ndarray, c: np.ndarray, l: np.ndarray, r: np
             at, run = own[order], run[order]
             start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.empty(0, np.int64)
             first = at[np.repeat(start, np.diff(np.append(start, len(at))))]
+            first = np.where(doc[first] == doc[at], np.concatenate([at[:1], at[:-1]]), first)  # within a document the one before
+            first[start] = at[start]
             keep = (first != at) & open_[at]
             f, m = first[keep], at[keep]
             lo, hi = np.minimum(c[m] - l[m], c[f] - l[f]), np.minimum(r[m] - c[m], r[f] - c[f])
             wide = lo + hi + 1 >= _SPAN - _SLACK  # both windows hold any passage around this centre
             here.append(f[wide].astype(np.int64) << 32 | m[wide])
-        pairs = np.unique(np.concatenate(here))
+            slots.append(np.full(len(here[-1]), k))
+        at, runs = np.concatenate(here), np.concatenate(slots)
+        by = np.argsort(at, kind="stable")
+        at, runs = at[by], runs[by]
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        pairs = at[start]
         open_[pairs & 0xFFFFFFFF] = False
         found.append(pairs)
-    pairs = np.concatenate(found)
+        # the words of all runs shared with this leader: they hold the centre, so they are one run
+        cores.append(np.stack([np.minimum.reduceat(_SLOT_LO[runs], start), np.maximum.reduceat(_SLOT_HI[runs], start)]) if len(pairs) else np.empty((2, 0), np.int64))
+        needed = _needed(pairs & 0xFFFFFFFF, *cores[-1])
+        found[-1], cores[-1] = pairs[needed], cores[-1][:, needed]
+    pairs, core = np.concatenate(found), np.concatenate(cores, axis=1)
     if not len(pairs):
         return None
     f, m = pairs >> 32, pairs & 0xFFFFFFFF
     lo, hi = c[m] - np.minimum(c[m] - l[m], c[f] - l[f]), c[m] + np.minimum(r[m] - c[m], r[f] - c[f])
-    columns = [doc[f], doc[m], c[m] - c[f], lo, hi]
+    columns = [doc[f], doc[m], c[m] - c[f], c[m], lo, hi, c[m] + core[0], c[m] + core[1]]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, _LINK)], names=[n for n, _ in _LINK])
 
 
+def _needed(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links of windows ``m`` with shared runs a..b, less those whose run lies within the window's longest one of MIN_WORDS and more."""
+    by = np.lexsort((np.arange(len(m)), a - b, m))
+    start = np.flatnonzero(np.diff(m[by], prepend=-1))
+    longest = np.repeat(by[start], np.diff(np.append(start, len(by))))
+    inside = (a[by] >= a[longest]) & (b[by] <= b[longest]) & (by != longest) & (b[longest] - a[longest] >= MIN_WORDS)
+    return np.sort(by[~inside])
+
+
 def _cold_links(marked: DataFrame) -> DataFrame:
-    """``first, doc_id, shift, lo, hi`` from windows with marks, key by key in the tasks that hold them."""
+    """Links from windows with marks, key by key in the tasks that hold them: bounds ``lo, hi`` by shingles, the run of words
+    that both texts share for sure around the centre ``c``."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -277,20 +303,81 @@ def _cold_links(marked: DataFrame) -> DataFrame:
             yield out
 
     dealt = marked.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "first long, doc_id long, shift int, lo int, hi int")
+    return dealt.mapInArrow(run, _LINK_SCHEMA)
 
 
 def _hot_links(marked: DataFrame) -> DataFrame:
     """The same for keys of very many windows: leaders by aggregates that combine before the shuffle, joined back in parts."""
     slots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(_SLOTS) - 1)), lambda k: F.substring("marks", 2 * k + 1, F.lit(2))))
     every = marked.select("key", "doc_id", "c", "l", "r", slots.alias("k", "mark")).where(F.col("mark") != F.lit(b"\0\0"))
-    every = materialize(every.select(F.xxhash64("key", "k", "mark").alias("run"), F.element_at(F.array(*(F.lit(t) for _, _, t in _SLOTS)), F.col("k") + 1).alias("tier"), "doc_id", "c", "l", "r"), "runs")
-    counts = materialize(every.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c", "l", "r")).alias("f")).where("n > 1"), "leaders")
-    met = spread_join(every, counts.select("run", "f"), "run", "doc_id", counts=counts).where("doc_id <> f.doc_id OR c <> f.c")
+    of_slot = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("k") + 1)
+    every = materialize(every.select(F.xxhash64("key", "k", "mark").alias("run"), of_slot(t for _, _, t in _SLOTS).alias("tier"), of_slot(_SLOT_LO).alias("a"), of_slot(_SLOT_HI).alias("b"), "doc_id", "c", "l", "r"), "runs")
+    leads = materialize(every.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c", "l", "r")).alias("f")).where("n > 1"), "leaders")
+    met = spread_join(every, leads.select("run", "f"), "run", "doc_id", counts=leads).where("doc_id <> f.doc_id OR c <> f.c")
     left, right = F.least(F.col("c") - F.col("l"), F.col("f.c") - F.col("f.l")), F.least(F.col("r") - F.col("c"), F.col("f.r") - F.col("f.c"))
-    met = materialize(met.where(left + right + 1 >= _SPAN - _SLACK).select("tier", "f", "doc_id", "c", (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi")).distinct(), "met")
+    met = met.where(left + right + 1 >= _SPAN - _SLACK).select(
+        "tier", F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), "c", (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi"), "a", "b"
+    )
+    met = materialize(met.groupBy("tier", "first", "doc_id", "shift", "c", "lo", "hi").agg((F.col("c") + F.min("a")).alias("run_lo"), (F.col("c") + F.max("b")).alias("run_hi")), "met")
+    drop_path(marked.sparkSession, every)
     best = met.groupBy("doc_id", "c").agg(F.min("tier").alias("tier"))
-    return met.join(best, ["doc_id", "c", "tier"]).select(F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), "lo", "hi")
+    return met.join(best, ["doc_id", "c", "tier"]).select(*(n for n, _ in _LINK))
+
+
+def sources(first: np.ndarray, shift: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, run_lo: np.ndarray, run_hi: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first, shift, lo, hi): which links of one document are worth verifying.
+
+    Links on one diagonal with shared runs of MIN_WORDS and more are sure. Diagonals that share most words for sure
+    come first, and one whose sure words all have a source already is left out. Of the other links those
+    go on whose centre lies in no sure run.
+    """
+    by = np.lexsort((run_lo, shift, first))
+    first, shift, c, lo, hi, run_lo, run_hi = (x[by] for x in (first, shift, c, lo, hi, run_lo, run_hi))
+    start = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(shift) != 0)]))
+    end = np.append(start[1:], len(first))
+    sure = run_hi - run_lo >= MIN_WORDS
+    words = np.add.reduceat(np.where(sure, run_hi - run_lo, 0), start)
+    offset = int(min(run_lo.min(), 0))
+    covered = np.zeros(int(run_hi.max()) - offset + 1, bool)
+    kept: dict[int, np.ndarray] = {}
+    for g in np.lexsort((first[start], -words))[: int(np.count_nonzero(words))].tolist():
+        new = False
+        for i in (start[g] + np.flatnonzero(sure[start[g] : end[g]])).tolist():
+            part = covered[run_lo[i] - offset : run_hi[i] - offset]
+            if not part.all():
+                new = True
+                part[:] = True
+        if new:
+            kept[g] = np.arange(start[g], end[g])
+    bare = ~covered[c - offset]
+    for g in range(len(start)):
+        if g not in kept and len(left := start[g] + np.flatnonzero(bare[start[g] : end[g]])):
+            kept[g] = left
+    return [(int(first[start[g]]), int(shift[start[g]]), int(lo[k].min()), int(hi[k].max())) for g, k in kept.items()]
+
+
+def _chosen(found: DataFrame) -> DataFrame:
+    """``first, doc_id, spans array<struct<shift, lo, hi>>`` of the links of whole documents that :func:`sources` keeps."""
+    schema = pa.schema([("first", pa.int64()), ("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("shift", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])))])
+
+    def run(batches):
+        for batch in cut(batches):
+            rows = []
+            for i in range(batch.num_rows):
+                w = batch.column(1)[i].values
+                by: dict[int, list] = {}
+                for f, s, lo, hi in sources(*(w.field(n).to_numpy().astype(np.int64) for n in _KEPT)):
+                    by.setdefault(f, []).append({"shift": s, "lo": lo, "hi": hi})
+                doc = batch.column(0)[i].as_py()
+                rows += [{"first": f, "doc_id": doc, "spans": spans} for f, spans in by.items()]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    grouped = found.groupBy("doc_id").agg(F.collect_list(F.struct(*_KEPT)).alias("w"))
+    return grouped.mapInArrow(run, "first long, doc_id long, spans array<struct<shift: int, lo: int, hi: int>>")
+
+
+_KEPT = ["first", "shift", "c", "lo", "hi", "run_lo", "run_hi"]
 
 
 def links(windows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -298,20 +385,23 @@ def links(windows: DataFrame, texts: DataFrame) -> DataFrame:
     documents the diagonals (place in doc_id less place in first) with bounds by shingles of doc_id.
 
     A window has a link for each place of its runs at most, so a row's spans are bounded by the length of its document."""
+    spark = windows.sparkSession
     counts = materialize(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     shared = spread_join(windows, counts, "key", "doc_id", counts=counts)
-    shared = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "l", "r", (F.col("n") > HOT_KEY).alias("hot"))).alias("w")), "windows")
-    needed = materialize(only_needed(texts, shared.select("doc_id")), "texts")
+    shared = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "c", "l", "r", (F.col("n") > HOT_KEY).alias("hot"))).alias("w")), "shared")
+    drop_path(spark, windows)
 
     def of(hot: bool) -> DataFrame:
         some = shared.select("doc_id", F.filter("w", lambda x: x["hot"] == hot).alias("w")).where(F.size("w") > 0)
-        return _with_marks(some, needed)
+        return _with_marks(some, only_needed(texts, some.select("doc_id")))
 
-    found = _cold_links(of(False))
+    found = materialize(_cold_links(of(False)), "links")
     if not counts.where(F.col("n") > HOT_KEY).isEmpty():
         found = found.union(_hot_links(of(True)))
-    joined = found.groupBy("first", "doc_id", "shift").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return joined.groupBy("first", "doc_id").agg(F.collect_list(F.struct("shift", "lo", "hi")).alias("spans"))
+    chosen = materialize(_chosen(found), "chosen")
+    for t in (shared, found):
+        drop_path(spark, t)
+    return chosen
 
 
 def clusters(spans: list[tuple[int, int, int]], slack: int = _SLACK) -> list[tuple[int, int, int, int]]:
@@ -397,6 +487,7 @@ def passages(source: np.ndarray, copy: np.ndarray) -> list[tuple[int, int, int,
 
 _CUT = [("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("source_doc_id", pa.int64()), ("source_lo", pa.int64()), ("words", pa.binary())]
 _FOUND = [(n, pa.int64()) for n in ("doc_id", "start_word", "end_word", "n_words", "source_doc_id", "source_start", "source_end")] + [("similarity", pa.float64())]
+_FOUND_SCHEMA = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n, _ in _FOUND)
 
 
 def _cut(first, doc, spans, texts):
@@ -428,10 +519,13 @@ def _verify(doc, lo, hi, source, source_lo, words, texts):
 
 
 def _pieces(doc: int, own: np.ndarray, start: int, end: int, first: int) -> list[tuple]:
-    """A stretch of words start..end that overlaps its source (from ``first`` on) as pieces of the length of the shift."""
-    shift, rows = start - first, []
-    if shift < MIN_WORDS:
+    """A stretch of words start..end that overlaps its source (from ``first`` on) as pieces of the length of the shift, or of
+    the least multiple of it that has MIN_WORDS."""
+    rows, period = [], start - first
+    if period < WIDTH:
         return rows
+    shift = period * -(-MIN_WORDS // period)
+    start = first + shift
     source = np.unique(own[first : first + shift - WIDTH + 1])
     for at in range(start, end - MIN_WORDS + 1, shift):
         to = min(at + shift, end)
@@ -446,17 +540,38 @@ def _pieces(doc: int, own: np.ndarray, start: int, end: int, first: int) -> list
 
 def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Every passage that repeats an earlier one in ``docs(doc_id, text)``; see above."""
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    windows = materialize(window_rows(texts, hashes), "windows")
-    found = materialize(links(windows, texts), "links")
-    drop_path(docs.sparkSession, windows)
-    needed = materialize(only_needed(texts, found.select("first").union(found.select("doc_id"))), "texts")
-    with_first = spread_join(found, needed.select(F.col("doc_id").alias("first"), "text"), "first", "doc_id")
+    named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    keyed = named.withColumn("digest", F.sha2("text", 256))
+    same = materialize(keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    every = spread_join(keyed, same.select("digest", "first"), "digest", "doc_id", "left", counts=same)
+    copies = materialize(every.where("doc_id <> first").select("doc_id", "first"), "copies").distinct()
+    texts = only_needed(named, copies.select("doc_id"), absent=True).union(
+        only_needed(named, copies.select("doc_id")).join(copies, "doc_id", "left_anti").select("doc_id", "text")
+    )
+    return _passages_of(texts, hashes).union(_whole(only_needed(named, copies.select("doc_id")).join(copies, "doc_id")))
+
+
+def _whole(copies: DataFrame) -> DataFrame:
+    """Passages of texts that are equal to that of ``first``: the whole of it."""
+
+    def make():
+        def step(ids, firsts, texts):
+            rows = [(i, 0, n, n, f, 0, n, 1.0) for i, f, n in zip(ids, firsts, (len(words_of(t)) for t in texts)) if n >= MIN_WORDS]
+            return batch_of(_FOUND, dict(zip([n for n, _ in _FOUND], zip(*rows)))) if rows else None
+
+        return step
+
+    return map_rows(copies, ["doc_id", "first", "text"], make, _FOUND_SCHEMA).distinct()
+
+
+def _passages_of(texts: DataFrame, hashes: int) -> DataFrame:
+    """The passages of documents of which no two are equal."""
+    found = links(materialize(window_rows(texts, hashes), "windows"), texts)
+    first, other = found.select("first").distinct(), found.select("doc_id").distinct()
+    with_first = spread_join(found, only_needed(texts, first).select(F.col("doc_id").alias("first"), "text"), "first", "doc_id")
     pieces = map_rows(with_first, ["first", "doc_id", "spans", "text"], lambda: _cut, ", ".join(f"{n} {'binary' if n == 'words' else 'long'}" for n, _ in _CUT))
-    both = pieces.join(needed, "doc_id")
-    names = [n for n, _ in _CUT]
-    schema = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n, _ in _FOUND)
-    return map_rows(both, [*names, "text"], lambda: _verify, schema).distinct()
+    both = pieces.join(only_needed(texts, other), "doc_id")
+    return map_rows(both, [*(n for n, _ in _CUT), "text"], lambda: _verify, _FOUND_SCHEMA).distinct()
 
 
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
