@@ -22,8 +22,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.common import table
-from driftline.plans.storage import new_path
+from driftline.llm.common import spread_join, table
+from driftline.plans.storage import materialize, new_path
 
 MIN_REVISIT = 100
 _EOL = "\r\n"
@@ -33,16 +33,16 @@ def classify(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, payload, payload_digest, payload_bytes, refers_to`` of every page.
 
     The smallest id of a digest is found by an aggregate that combines before the shuffle, and is joined
-    back; a digest of very many pages is split by the engine's handling of skewed joins.
+    back; a digest of very many pages is dealt to many tasks.
     """
     base = pages.select(
         F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload")
     ).withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = (
-        base.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-        .where("copies > 1").select(F.col("payload_digest").alias("d"), "first_id")
+    first = materialize(
+        base.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "digests"
     )
-    return base.join(first, F.col("payload_digest") == F.col("d"), "left").select(
+    joined = spread_join(base, first.select("payload_digest", "first_id"), "payload_digest", "page_id", "left", counts=first)
+    return joined.select(
         "page_id", "url", "payload", "payload_digest", "payload_bytes",
         F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"),
     )
@@ -77,7 +77,6 @@ def header(date: str) -> Column:
 
 def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", min_revisit: int = MIN_REVISIT) -> None:
     """Write the archive of ``pages(page_id, url, html)`` below ``path``."""
-    spark = pages.sparkSession
     classified = classify(pages, min_revisit)
     records = classified.select(
         F.col("page_id").alias("record_no"), header(date).alias("header"), "payload_digest", F.col("refers_to").isNull().alias("has_block")
@@ -91,7 +90,6 @@ def write_archive(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         .select("payload_digest", F.when(F.col("payload") == F.col("other"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads with one digest"))).alias("payload"))
     )
     stored.write.parquet(f"{path}/payloads")
-    del spark
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -99,20 +97,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     its full payload, by a join over the digest. A payload whose digest isn't the stored one fails."""
     records = spark.read.parquet(f"{path}/records")
     payloads = spark.read.parquet(f"{path}/payloads").select(
-        F.col("payload_digest").alias("d"),
+        "payload_digest",
         F.when(F.sha2("payload", 256) == F.col("payload_digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is damaged"))).alias("payload"),
     )
-    joined = records.join(payloads, F.col("payload_digest") == F.col("d"), "left")
+    joined = spread_join(records, payloads, "payload_digest", "record_no", "left")
     block = F.when(F.col("has_block"), F.col("payload")).otherwise(F.lit(b""))
     return joined.select("record_no", F.concat("header", block, F.lit((_EOL * 2).encode())).alias("record"), "payload")
 
 
-def field(record: Column, name: str) -> Column:
-    """A header field of a record; empty if it is absent."""
-    head = F.decode(F.substring_index(F.decode(record, "ISO-8859-1"), _EOL * 2, 1).cast("binary"), "UTF-8")
-    return F.regexp_extract(head, f"(?m)^{name}: (.*?)\\r?$", 1)
-
-
 def export_files(spark: SparkSession, archive: str, path: str) -> None:
     """Write ordinary ``.warc`` byte streams, one value for each partition, as a table of binaries
     ``part, warc`` below ``path``; rows are in the order of their ids within a part."""
