@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.common import as_signed, batch_of, map_rows, mixed, only_needed, shingle_set, spread_join, table, word_hashes, words_of
 from driftline.operators.components import connected_components
-from driftline.plans.storage import materialize
+from driftline.plans.storage import drop_path, materialize
 
 BANDS, ROWS = 40, 6
 #: Min-hashes; the bands use the first ones, all of them are compared.
@@ -289,6 +289,7 @@ def _across(members: DataFrame, threshold: float, num: int, den: int) -> DataFra
     dealt = spread_join(members, sizes, "unit", "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     blocks = dealt.groupBy("unit", "bucket", "blocks", "block").agg(F.collect_list(F.struct("doc_id", "comp", "sig", "bands", "shingles")).alias("p"))
     blocks = materialize(blocks, "blocks")
+    drop_path(members.sparkSession, members)
     left = blocks.select("unit", "bucket", "block", "p", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("to"))
     right = blocks.select("unit", F.col("block").alias("to"), F.col("p").alias("q"))
     alone, two = left.where("block = to"), left.where("block < to").join(right, ["unit", "to"])
@@ -334,6 +335,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     shared = materialize(members.join(leaders, "key"), "buckets")  # only members of buckets of two and more
     pairs = materialize(shared.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     likely = materialize(_prune(pairs, reps, threshold), "likely")
+    drop_path(docs.sparkSession, pairs)
     links = materialize(verify(likely, docs, width, num, den), "links")
     comps = materialize(connected_components(links, src="a", dst="b"), "components")
 
@@ -342,8 +344,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     )
     mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("key")
     rest = materialize(placed.join(mixed_keys, "key", "left_semi"), "open")
+    drop_path(docs.sparkSession, shared)
     if not rest.isEmpty():
-        more = materialize(_across(_units(rest, reps, docs, width), threshold, num, den), "links")
+        units = _units(rest, reps, docs, width)
+        drop_path(docs.sparkSession, reps)
+        more = materialize(_across(units, threshold, num, den), "links")
         comps = materialize(connected_components(links.union(more), src="a", dst="b"), "components")
 
     final = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n", "rep", F.coalesce("label", "rep").alias("component"))
