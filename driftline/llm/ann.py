@@ -3,8 +3,11 @@
 A vector is the sum of one word from each of ``BOOKS`` full-dimensional codebooks, fitted one after
 another to the residuals of a bounded sample. Encoding is a beam search over the books. Of each vector the
 index holds the codes, the squared norm of the sum, and the factor that projects the vector on it.
-A search makes a lookup table of inner products of the query with all words once, scores every code by
-adding table entries, and ranks the best candidates again with the original vectors in double precision.
+The words of the first book part the vectors into cells. A search makes a lookup table of inner products of the query
+with all words once, scores the codes of the cells nearest to the query (and to its neighbours in a batch) by
+adding table entries, and ranks the best candidates again with the original vectors in double precision. How many
+cells are probed follows from the sample: as many as hold PROBED of the true neighbours of its own vectors, so
+all of them where vectors have no clusters.
 
 Equal vectors are one class, so copies cost one entry: a class is searched by its smallest id and put
 in place of it afterwards, of which only the k + 1 smallest ids can matter. Queries and codes meet in
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import batch_of, map_rows, table
+from driftline.llm.common import batch_of, cut, table
 from driftline.plans.storage import materialize
 
 BOOKS, WORDS, BEAM = 24, 256, 4
@@ -33,6 +36,10 @@ BOOKS, WORDS, BEAM = 24, 256, 4
 SAMPLE = 10_000
 #: Candidates of a query that are ranked again: so many up to MANY vectors, then in proportion to the root of their number.
 DEPTH, MANY = 300, 50_000
+#: Share of the sample's true neighbours that the probed cells must hold, and the vectors of the sample that ask.
+PROBED, ASKING = 0.995, 500
+#: Queries that share a lookup table.
+BATCH = 64
 #: Vectors and queries in a block.
 CODE_BLOCK, QUERY_BLOCK = 65_536, 2_048
 
@@ -91,6 +98,26 @@ def fit(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int
     return Codebooks(np.stack(out))
 
 
+def cell_order(books: Codebooks, queries: np.ndarray) -> np.ndarray:
+    """Cells of each query, nearest first."""
+    return np.argsort(-(queries @ books.words[0].T), axis=1, kind="stable")
+
+
+def probes_of(books: Codebooks, sample: np.ndarray, k: int = 20) -> int:
+    """The least number of cells that hold PROBED of the k nearest in the sample of vectors spread over it."""
+    cells = books.encode(sample)[:, 0]
+    asking = np.unique(np.linspace(0, len(sample) - 1, min(ASKING, len(sample))).astype(np.int64))
+    ranks = np.argsort(cell_order(books, sample[asking]), axis=1)
+    score = sample[asking] @ sample.T
+    score[np.arange(len(asking)), asking] = -np.inf
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return len(books.words[0])
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    rank = np.sort(np.take_along_axis(ranks, cells[near].astype(np.int64), 1).ravel())
+    return int(rank[math.ceil(PROBED * len(rank)) - 1]) + 1
+
+
 def depth_of(n: int) -> int:
     """Candidates of a query among ``n`` vectors: as their number grows, more of them lie as near as the codes can tell."""
     return math.ceil(DEPTH * math.sqrt(max(1.0, n / MANY)))
@@ -108,44 +135,58 @@ def usable(rows: DataFrame) -> DataFrame:
 _INDEX = [("rep", pa.int64()), ("codes", pa.binary()), ("norm", pa.float32()), ("factor", pa.float32())]
 
 
+def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """A column of lists of one width as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+
+
 def build_index(classes: DataFrame, books: Codebooks) -> DataFrame:
     """``rep, codes, norm, factor`` of every row of ``classes(rep, v)``."""
 
-    def make():
-        def step(reps, vectors):
-            x = np.array(vectors, np.float32)
+    def run(batches):
+        for batch in cut(batches, 4096):
+            x = matrix(batch.column(1), np.float32)
             codes = books.encode(x)
             y = books.decode(codes)
             norm = np.einsum("ij,ij->i", y, y)
             factor = np.einsum("ij,ij->i", x, y) / np.maximum(norm, 1e-30)
-            return batch_of(_INDEX, {"rep": reps, "codes": [c.tobytes() for c in codes], "norm": norm, "factor": factor})
-
-        return step
-
-    return map_rows(classes, ["rep", "v"], make, "rep long, codes binary, norm float, factor float")
-
-
-def _scored(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, factor: np.ndarray, depth: int, metric: str):
-    """(candidates, scores), each (queries, depth), by lookup tables; a greater score is nearer."""
-    n, depth = len(codes), min(depth, len(codes))
-    for q in range(0, len(queries), 64):
-        lut = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books.words, queries[q : q + 64], optimize=True))
-        score = lut[0][codes[:, 0]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32()), pa.array(factor, pa.float32())], names=[n for n, _ in _INDEX]
+            )
+
+    return classes.select("rep", "v").mapInArrow(run, "rep long, codes binary, norm float, factor float")
+
+
+def _scored(books: Codebooks, queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, factor: np.ndarray, depth: int, metric: str, probes: int | None = None):
+    """(query, candidates, scores) of each query by lookup tables, ``depth`` candidates at most; a greater score is nearer."""
+    cells = cell_order(books, queries)[:, : probes or len(books.words[0])]
+    by_cell = np.argsort(codes[:, 0], kind="stable")
+    ends = np.searchsorted(codes[by_cell, 0], np.arange(len(books.words[0]) + 1))
+    asked = np.argsort(cells[:, 0], kind="stable")  # queries of one cell share most of theirs
+    for at in range(0, len(queries), BATCH):
+        some = asked[at : at + BATCH]
+        own = np.concatenate([by_cell[ends[c] : ends[c + 1]] for c in np.unique(cells[some]).tolist()])
+        if not len(own):
+            continue
+        lut = np.ascontiguousarray(np.einsum("mkd,qd->mkq", books.words, queries[some], optimize=True))
+        here = codes[own]
+        score = lut[0][here[:, 0]]
         for m in range(1, len(lut)):
-            score += lut[m][codes[:, m]]
+            score += lut[m][here[:, m]]
         if metric == "ip":
-            score *= factor[:, None]
+            score *= factor[own, None]
         else:
-            score = 2 * score - norm[:, None]
+            score = 2 * score - norm[own, None]
         score = np.ascontiguousarray(score.T)
-        best = np.argpartition(score, n - depth, axis=1)[:, n - depth :]
-        yield from zip(best, np.take_along_axis(score, best, 1))
+        most = min(depth, len(own))
+        best = np.argpartition(score, len(own) - most, axis=1)[:, len(own) - most :]
+        yield from zip(some.tolist(), own[best], np.take_along_axis(score, best, 1))
 
 
 _CAND = [("query_id", pa.int64()), ("rep", pa.int64()), ("about", pa.float32())]
 
 
-def candidates(queries: DataFrame, index: DataFrame, books: Codebooks, depth: int = DEPTH, metric: str = "ip") -> DataFrame:
+def candidates(queries: DataFrame, index: DataFrame, books: Codebooks, depth: int = DEPTH, metric: str = "ip", probes: int | None = None) -> DataFrame:
     """``query_id, rep`` of the ``depth`` best codes of every query, in ``queries(query_id, v)``."""
 
     def blocked(df: DataFrame, key: str, size: int, name: str, split: int = 1) -> DataFrame:
@@ -163,13 +204,14 @@ def candidates(queries: DataFrame, index: DataFrame, books: Codebooks, depth: in
         for batch in batches:
             for i in range(batch.num_rows):
                 qs, cs = batch.column(0)[i].values, batch.column(1)[i].values
-                x = np.array(qs.field("v").to_pylist(), np.float32)
-                n = len(cs)
-                codes = np.frombuffer(b"".join(cs.field("codes").to_pylist()), np.uint8).reshape(n, -1)
+                x = matrix(qs.field("v"), np.float32)
+                codes = np.frombuffer(b"".join(cs.field("codes").to_pylist()), np.uint8).reshape(len(cs), -1)
                 norm, factor = (cs.field(k).to_numpy(zero_copy_only=False) for k in ("norm", "factor"))
                 ids, reps = qs.field("query_id").to_numpy(), cs.field("rep").to_numpy()
-                for k, (best, score) in enumerate(_scored(books, x, codes, norm, factor, depth, metric)):
-                    yield batch_of(_CAND, {"query_id": np.full(len(best), ids[k]), "rep": reps[best], "about": score.astype(np.float32)})
+                found = list(_scored(books, x, codes, norm, factor, depth, metric, probes))
+                if found:
+                    own = np.repeat(ids[[k for k, _, _ in found]], [len(b) for _, b, _ in found])
+                    yield batch_of(_CAND, {"query_id": own, "rep": reps[np.concatenate([b for _, b, _ in found])], "about": np.concatenate([s for _, _, s in found]).astype(np.float32)})
 
     found = met.select("q", "c").mapInArrow(run, "query_id long, rep long, about float")
     order = Window.partitionBy("query_id").orderBy(F.desc("about"), "rep")
@@ -183,17 +225,15 @@ def rerank(cands: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFram
     """``query_id, rep, score``: the inner product of the original vectors, summed in order in double precision."""
     both = cands.join(classes, "rep").join(queries.withColumnRenamed("v", "w"), "query_id")
 
-    def make():
-        def step(ids, reps, v, w):
-            x, y = np.array(v, np.float64), np.array(w, np.float64)
+    def run(batches):
+        for batch in cut(batches, 8192):
+            x, y = matrix(batch.column(2)), matrix(batch.column(3))
             score = np.zeros(len(x))
             for j in range(x.shape[1]):
                 score += x[:, j] * y[:, j]
-            return batch_of(_NEAR, {"query_id": ids, "rep": reps, "score": score})
-
-        return step
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=[n for n, _ in _NEAR])
 
-    return map_rows(both, ["query_id", "rep", "v", "w"], make, "query_id long, rep long, score double")
+    return both.select("query_id", "rep", "v", "w").mapInArrow(run, "query_id long, rep long, score double")
 
 
 def search(rows: DataFrame, is_query, k: int = 20, depth: int | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -208,10 +248,12 @@ def search(rows: DataFrame, is_query, k: int = 20, depth: int | None = None, sam
         return spark.createDataFrame([], schema)
     # hashes are even, so this is about `sample` rows; the limit makes it a bound
     part = classes.where(F.pmod(F.xxhash64("rep"), F.lit(max(n, 1))) < sample).select("v").limit(sample)
-    books = fit(np.stack([np.asarray(r["v"], np.float32) for r in part.toLocalIterator()]) if not part.isEmpty() else np.array([classes.first()["v"]], np.float32))
+    vecs = [np.asarray(r["v"], np.float32) for r in part.toLocalIterator()] or [np.asarray(classes.first()["v"], np.float32)]
+    books = fit(np.stack(vecs))
+    probes = probes_of(books, np.stack(vecs), k)
     index = materialize(build_index(classes, books), "index")
     queries = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    exact = materialize(rerank(candidates(queries, index, books, depth or depth_of(n)), queries, classes), "nearest")
+    exact = materialize(rerank(candidates(queries, index, books, depth or depth_of(n), probes=probes), queries, classes), "nearest")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     near = exact.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("query_id", "rep", "score")
     # of a class of copies only the k + 1 smallest ids can be among the nearest (one may be the query)

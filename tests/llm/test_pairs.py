@@ -257,10 +257,12 @@ def test_texts_longer_than_a_segment(spark, monkeypatch):
 def test_a_paragraph_repeated_in_a_row(spark):
     rng = random.Random(13)
     p = [f"r{i}" for i in range(60)]
-    rows = [(1, " ".join(p * 7)), (2, " ".join(["x"] * 400)), (3, " ".join([f"y{rng.randrange(99999)}" for _ in range(90)]))]
+    rows = [(1, " ".join(p * 7)), (2, " ".join(["x"] * 400)), (4, " ".join([f"q{i}" for i in range(12)] * 20)), (3, " ".join([f"y{rng.randrange(99999)}" for _ in range(90)]))]
     found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     covered = {k for r in found if r["doc_id"] == 1 for k in range(r["start_word"], r["end_word"])}
-    assert covered == set(range(60, 420)) and {r["doc_id"] for r in found} == {1}
+    assert covered == set(range(60, 420)) and {r["doc_id"] for r in found} == {1, 4}
+    assert {k for r in found if r["doc_id"] == 4 for k in range(r["start_word"], r["end_word"])} == set(range(60, 240))
+    assert all(r["source_end"] <= r["start_word"] and r["end_word"] - r["start_word"] >= 50 for r in found)
 
 
 def test_runs_and_clusters():
@@ -282,6 +284,20 @@ def test_runs_and_clusters():
     assert substring.clusters([(5, 0, 60), (9, 50, 120), (40, 55, 130), (7, 400, 460)]) == [(0, 120, 5, 9), (55, 130, 40, 40), (400, 460, 7, 7)]
 
 
+def test_sources_cover_all_sure_words():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        c = rng.integers(50, 400, n)
+        x = [rng.integers(0, 4, n), rng.integers(-3, 3, n), c, c - 45, c + 45, c - rng.integers(0, 42, n), c + rng.integers(6, 47, n)]
+        kept = substring.sources(*x)
+        sure = [k for k in range(n) if x[6][k] - x[5][k] >= 50]
+        covered = {w for k in sure if any((f, s) == (x[0][k], x[1][k]) for f, s, _, _ in kept) for w in range(x[5][k], x[6][k])}
+        assert covered == {w for k in sure for w in range(x[5][k], x[6][k])}
+        for k in set(range(n)) - set(sure):
+            assert x[2][k] in covered or any((f, s) == (x[0][k], x[1][k]) and a <= x[3][k] and b >= x[4][k] for f, s, a, b in kept)
+
+
 def test_windows_of_one_key_meet_as_run_by_run(spark, passages):
     """Both ways of linking give the same passages."""
     _, d = passages
@@ -351,7 +367,7 @@ def test_recall_and_norms(spark):
     x = np.random.default_rng(0).normal(size=(500, 16)).astype(np.float32)
     books = ann.fit(x, books=4, words=16)
     assert ((x - books.decode(books.encode(x, 8))) ** 2).sum() <= ((x - books.decode(books.encode(x, 1))) ** 2).sum()
-    near = [set(b.tolist()) for b, _ in ann._scored(books, x[:20], books.encode(x), (books.decode(books.encode(x)) ** 2).sum(1), np.ones(500), 100, "l2")]
+    near = {q: set(b.tolist()) for q, b, _ in ann._scored(books, x[:20], books.encode(x), (books.decode(books.encode(x)) ** 2).sum(1), np.ones(500), 100, "l2")}
     assert np.mean([int(np.argsort(((x - x[i]) ** 2).sum(1))[1]) in near[i] for i in range(20)]) > 0.7
 
 
@@ -364,4 +380,15 @@ def test_recall_on_many_vectors(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     best = {q: set(np.argsort(-(x[q] @ x.T))[1:21].tolist()) for q in range(0, 20_000, 200)}
     assert np.mean([len(got[q] & best[q]) / 20 for q in best]) >= 0.97
+    assert ann.probes_of(ann.fit(x[:4000]), x[:4000]) > 64  # no clusters, so most cells are probed
+    centres = np.random.default_rng(6).normal(size=(40, 64)).astype(np.float32)
+    y = centres[np.arange(4000) % 40] + np.random.default_rng(7).normal(size=(4000, 64)).astype(np.float32) * 0.1
+    books = ann.fit(y)
+    probes = ann.probes_of(books, y)
+    assert probes < 40
+    codes = books.encode(y)
+    z = books.decode(codes)
+    norm = (z**2).sum(1)
+    found = {q: set(b.tolist()) for q, b, _ in ann._scored(books, y[:100], codes, norm, (y * z).sum(1) / norm, 300, "ip", probes)}
+    assert np.mean([len(found[q] & set(np.argsort(-(y[q] @ y.T))[:20].tolist())) / 20 for q in range(100)]) >= 0.97
     assert ann.depth_of(100) == ann.DEPTH and ann.depth_of(100 * ann.MANY) == 10 * ann.DEPTH
