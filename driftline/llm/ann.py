@@ -15,7 +15,8 @@ blocks of bounded size.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do vectors of another width than most; equal scores go to the smaller id; with fewer vectors than
-k all are returned; an empty table gives an empty result. Ids must be unique and not null.
+k all are returned; an empty table gives an empty result; repeated rows are one, rows without an id none;
+one id with several vectors stands for each of them.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def search(rows: DataFrame, is_query, k: int = 20, depth: int | None = None, sam
     """``query_id, rank, vec_id, score``: the k nearest of ``rows(vec_id, embedding)`` by inner product to
     each row for which the condition ``is_query`` holds, itself left out."""
     spark = rows.sparkSession
-    vectors = materialize(usable(rows), "vectors")
+    vectors = materialize(usable(rows).where("vec_id IS NOT NULL").distinct(), "vectors")
     classes = materialize(vectors.groupBy("v").agg(F.min("vec_id").alias("rep")).select("rep", "v"), "classes")
     schema = "query_id long, rank int, vec_id long, score double"
     n = classes.count()

@@ -17,8 +17,9 @@
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with nothing and
 is its own component; with fewer words than the width, the whole sequence is one shingle; texts are read
-whole; repeated rows are in one class; an empty table gives an empty result. Ids must be unique and
-not null. Other columns are not read.
+whole; repeated rows are in one class; an empty table gives an empty result. Rows without an id are linked with
+nothing and have no component; of different texts under one id any one may stand for all in the comparison
+of signatures. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -328,8 +329,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     threshold = num / den
     sigs = materialize(signatures(docs.select("doc_id", "text"), width), "signatures")
     classes = sigs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    reps = sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = materialize(reps.select("doc_id", "sig", "bands"), "representatives")
+    chosen = sigs.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
+    reps = materialize(chosen.select("doc_id", "sig", "bands").dropDuplicates(["doc_id"]), "representatives")
     members = reps.select("doc_id", F.explode("bands").alias("key"))
     leaders = members.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
     shared = materialize(members.join(leaders, "key"), "buckets")  # only members of buckets of two and more
@@ -354,7 +355,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     final = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "n", "rep", F.coalesce("label", "rep").alias("component"))
     changed = final.where("n > 1 OR component <> rep")  # any other class is one document that is linked with nothing
     out = spread_join(sigs.select("doc_id", "n_shingles", "set_key"), changed.select("set_key", "component"), "set_key", "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

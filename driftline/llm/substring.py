@@ -29,7 +29,8 @@ of it that has MIN_WORDS), each of which repeats the first one; fewer than WIDTH
 
 Defined cases: a null text is an empty one; texts of under MIN_WORDS words have no passages; whole texts
 are read; equal texts repeat the one with the smallest id; an empty table gives an empty result.
-Ids must be unique; rows without an id have no passages and are no source.
+Repeated rows are one document; different texts under one id are compared each, and what is found in any
+of them is reported under the id; rows without an id have no passages and are no source.
 """
 
 from __future__ import annotations
@@ -104,8 +105,9 @@ RUNS = [(47, tuple(range(0, 43, 3))), (23, (0, 6, 12, 18)), (10, (0, 5))]
 _SLOTS = [(words, back, tier) for tier, (words, backs) in enumerate(RUNS) for back in backs]
 _SLOT_LO = np.array([-back for _, back, _ in _SLOTS], np.int64)
 _SLOT_HI = np.array([words - back for words, back, _ in _SLOTS], np.int64)
+_SLOT_WORDS = _SLOT_HI - _SLOT_LO
 #: Windows of one key from which they are worked on run by run.
-HOT_KEY = 65_536
+HOT_KEY = 500_000
 #: Windows whose runs are compared together, at least.
 _TOGETHER = 100_000
 
@@ -178,16 +180,25 @@ def run_marks(words: np.ndarray, c: np.ndarray) -> np.ndarray:
     A run's hash is a polynomial over its words, from prefix sums modulo 2^64.
     """
     n = len(words)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]).astype(np.uint64))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]).astype(np.uint64))
+    power, back = _powers(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words) * power[:n])])
-    out = np.zeros((len(c), len(_SLOTS)), np.uint16)
-    for k, (length, before, _) in enumerate(_SLOTS):
-        at = c - before
-        ok = (at >= 0) & (at + length <= n)
-        p = at[ok]
-        out[ok, k] = np.maximum(mixed((sums[p + length] - sums[p]) * back[p]) >> np.uint64(48), 1).astype(np.uint16)
-    return out
+    at = c[:, None] + _SLOT_LO
+    whole = (at >= 0) & (at + _SLOT_WORDS <= n)
+    at = np.where(whole, at, 0)
+    hashes = (sums[np.minimum(at + _SLOT_WORDS, n)] - sums[at]) * back[at]
+    return np.where(whole, np.maximum(mixed(hashes) >> np.uint64(48), 1), 0).astype(np.uint16)
+
+
+_TABLES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0..n at least of the base and of its inverse; they grow with the longest text a worker has met."""
+    if len(_TABLES[0]) <= n:
+        size = max(2 * n, 1 << 12)
+        for k, base in enumerate((_BASE, _INVERSE)):
+            _TABLES[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, base))])
+    return _TABLES
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -311,7 +322,7 @@ def _hot_links(marked: DataFrame) -> DataFrame:
     slots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(len(_SLOTS) - 1)), lambda k: F.substring("marks", 2 * k + 1, F.lit(2))))
     every = marked.select("key", "doc_id", "c", "l", "r", slots.alias("k", "mark")).where(F.col("mark") != F.lit(b"\0\0"))
     of_slot = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("k") + 1)
-    every = materialize(every.select(F.xxhash64("key", "k", "mark").alias("run"), of_slot(t for _, _, t in _SLOTS).alias("tier"), of_slot(_SLOT_LO).alias("a"), of_slot(_SLOT_HI).alias("b"), "doc_id", "c", "l", "r"), "runs")
+    every = every.select(F.xxhash64("key", "k", "mark").alias("run"), of_slot(t for _, _, t in _SLOTS).alias("tier"), of_slot(_SLOT_LO).alias("a"), of_slot(_SLOT_HI).alias("b"), "doc_id", "c", "l", "r")
     leads = materialize(every.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "c", "l", "r")).alias("f")).where("n > 1"), "leaders")
     met = spread_join(every, leads.select("run", "f"), "run", "doc_id", counts=leads).where("doc_id <> f.doc_id OR c <> f.c")
     left, right = F.least(F.col("c") - F.col("l"), F.col("f.c") - F.col("f.l")), F.least(F.col("r") - F.col("c"), F.col("f.r") - F.col("f.c"))
@@ -319,7 +330,6 @@ def _hot_links(marked: DataFrame) -> DataFrame:
         "tier", F.col("f.doc_id").alias("first"), "doc_id", (F.col("c") - F.col("f.c")).alias("shift"), "c", (F.col("c") - left).alias("lo"), (F.col("c") + right).alias("hi"), "a", "b"
     )
     met = materialize(met.groupBy("tier", "first", "doc_id", "shift", "c", "lo", "hi").agg((F.col("c") + F.min("a")).alias("run_lo"), (F.col("c") + F.max("b")).alias("run_hi")), "met")
-    drop_path(marked.sparkSession, every)
     best = met.groupBy("doc_id", "c").agg(F.min("tier").alias("tier"))
     return met.join(best, ["doc_id", "c", "tier"]).select(*(n for n, _ in _LINK))
 
@@ -542,12 +552,18 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     """Every passage that repeats an earlier one in ``docs(doc_id, text)``; see above."""
     named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     keyed = named.withColumn("digest", F.sha2("text", 256))
-    same = materialize(keyed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    rows = keyed.where("digest IS NOT NULL").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    same = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("rows").alias("n"), F.max("rows").alias("rows")).where("n > 1"), "copies")
     every = spread_join(keyed, same.select("digest", "first"), "digest", "doc_id", "left", counts=same)
     copies = materialize(every.where("doc_id <> first").select("doc_id", "first"), "copies").distinct()
     texts = only_needed(named, copies.select("doc_id"), absent=True).union(
         only_needed(named, copies.select("doc_id")).join(copies, "doc_id", "left_anti").select("doc_id", "text")
     )
+    if not same.where("rows > 1").isEmpty():  # repeated rows are one document
+        twice = materialize(spread_join(keyed, same.where("rows > 1").select("digest"), "digest", "doc_id", "left_semi", counts=same).select("doc_id", "text").distinct(), "repeated")
+        texts = only_needed(texts, twice.select("doc_id"), absent=True).union(only_needed(texts, twice.select("doc_id")).join(twice.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")).union(
+            twice.join(copies, "doc_id", "left_anti").select("doc_id", "text")
+        )
     return _passages_of(texts, hashes).union(_whole(only_needed(named, copies.select("doc_id")).join(copies, "doc_id")))
 
 

@@ -62,6 +62,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.columns == d.columns and kept.count() == len({c for _, c in brute_components(texts).values()})
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    rng = random.Random(21)
+    text = " ".join(f"n{rng.randrange(9999)}" for _ in range(80))
+    other = " ".join(f"m{rng.randrange(9999)}" for _ in range(60))
+    rows = [(5, text), (5, text), (7, text + " end"), (9, other), (9, other), (None, text), (None, None), (3, "x " + other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d, 2).where("doc_id IS NOT NULL").collect()))
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (7, 5, False), (9, 3, False), (9, 3, False)]
+    found = {(r["doc_id"], r["source_doc_id"], r["n_words"]) for r in substring.repeated_passages(d).collect()}
+    assert found == {(7, 5, 80), (9, 3, 60)}
+    v = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.5, 0.1]), (2, [0.2, 0.2]), (None, [9.0, 9.0])]
+    near = ann.search(spark.createDataFrame(v, "vec_id long, embedding array<double>"), "vec_id % 20 = 0").collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in near) == [(1, 1), (2, 2)]
+
+
 def test_near_duplicates_of_nothing(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(d).count() == 0
