@@ -16,14 +16,14 @@ from driftline.llm import html_text, langid, secrets, warc
 @pytest.fixture(scope="module")
 def pages(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("pages"))
-    rows = [(5, "http://a/5", "x" * 120), (2, "http://a/2", "x" * 120), (9, None, "é" * 60), (7, "u", "é" * 60), (1, "u", None), (3, "u\r\nX-Evil: 1", ""), (4, "u", "short"), (6, "u", "short"), (8, "u", "a\r\n\r\nb" * 40)]
-    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    rows = [(5, "http://a/5", "x" * 120), (2, "http://a/2", "x" * 120), (9, None, "é" * 60), (7, "u", "é" * 60), (1, "u", None), (3, "u\r\nX-Evil: 1", ""), (4, "u", "short"), (6, "u", "short"), (8, "u", "a\r\n\r\nb" * 40), (10, "u", "long é " * 400_000)]
+    spark.createDataFrame([(*r, b"clash", 1) for r in rows], "page_id long, url string, html string, payload binary, n int").write.parquet(f"{path}/pages.parquet")
     return path, rows
 
 
 def test_archive_query(spark, pages):
     got = {r["page_id"]: r for r in warc.op5_warc(spark, pages[0]).collect()}
-    assert {i: r["refers_to"] for i, r in got.items()} == {1: None, 2: None, 3: None, 4: None, 5: 2, 6: None, 7: None, 8: None, 9: 7}
+    assert {i: r["refers_to"] for i, r in got.items()} == {1: None, 2: None, 3: None, 4: None, 5: 2, 6: None, 7: None, 8: None, 9: 7, 10: None}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{pages[0]}/pages.parquet/*.parquet'")
     sql = con.execute(warc.OP5_SQL).fetchall()
@@ -44,6 +44,7 @@ def test_archive_round_trip(spark, pages, tmp_path):
     for head, block in records:
         assert head.startswith(b"WARC/1.1\r\n") and head.endswith(b"\r\n\r\n") and b"\r\nX-Evil" not in head
         assert (b"WARC-Type: revisit" in head) <= (block == b"")
+    assert warc.op5_warc(spark, empty_table(spark, tmp_path, "pages", "page_id long, url string, html string")).count() == 0
     warc.write_archive(d.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -313,7 +314,7 @@ def test_language_query(spark, tmp_path):
     stems = {"xx": "bado kera mito sule", "yy": "grusch pflitz wrempf schlott"}
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(stems[k].split()) for _ in range(rng.randrange(5, 60))), k, "s") for i in range(80) for k in [rng.choice(["xx", "yy"])]]
-    rows += [(100, None, "xx", "s"), (101, "123 !", "yy", "s"), (102, "bado kera", None, "s"), (102, "bado kera", None, "s")]
+    rows += [(100, None, "xx", "s"), (101, "123 !", "yy", "s"), (102, "bado kera", None, "s"), (102, "bado kera", None, "s"), (103, "bado kera " * 200_000, "xx", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, score string").write.parquet(f"{tmp_path}/documents.parquet")
     got = langid.op6_langid(spark, str(tmp_path)).collect()
     truth = {r[0]: r[2] for r in rows}

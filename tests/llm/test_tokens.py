@@ -79,6 +79,8 @@ def test_bpe_query(spark, tmp_path, reference):
     encoded = bpe.encode_documents(d, PATH, P.PATTERN)
     assert {r["doc_id"]: bytes(r["data"]).decode() for r in bpe.decode_documents(encoded, PATH, P.PATTERN).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert bpe.encode_documents(d.limit(0), PATH, P.PATTERN).count() == 0
+    d.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert bpe.op2_bpe(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_differencing():
@@ -135,4 +137,5 @@ def test_packing_query(spark, tmp_path):
         assert at <= 2048
         padding += 0 if at & (at - 1) == 0 else 2048 - at
     assert padding == 0
-    assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORDS).count() == 0
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert packing.op9_packing(spark, f"{tmp_path}/none").count() == 0
