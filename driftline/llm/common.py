@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.plans.storage import materialize
+
 #: Rows in an Arrow batch: few, as one text may be very long.
 BATCH_ROWS = 1000
 
@@ -150,12 +152,15 @@ def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "
     Keys of over HOT rows are dealt to PARTS parts by a hash of the column ``by``; their rows in ``few`` are repeated
     for each part. What is broadcast are the hot keys' hashes modulo MARKS, so never more than MARKS integers;
     keys that share a mark with a hot one are dealt alike on both sides. ``counts(key, n)`` has the rows of each key;
-    without it ``rows`` is read twice.
+    without it ``rows`` is read twice. The hot keys are found at once; without any this is a plain join.
     """
     mark = F.pmod(F.xxhash64(F.col(key)), F.lit(MARKS)).cast("int")
     counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     often = counts.where((F.col("n") > HOT) & F.col(key).isNotNull())
-    often = F.broadcast(often.select(mark.alias("_mark")).distinct().withColumn("_hot", F.lit(True)))
+    often = materialize(often.select(mark.alias("_mark")).distinct().withColumn("_hot", F.lit(True)), "hot")
+    if often.isEmpty():
+        return rows.join(few, key, how)
+    often = F.broadcast(often)
     part = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(by)), F.lit(PARTS))).otherwise(0).cast("int")
     left = rows.withColumn("_mark", mark).join(often, "_mark", "left").withColumn("_part", part).drop("_mark", "_hot")
     every = F.sequence(F.lit(0), F.when(F.col("_hot"), PARTS - 1).otherwise(0))

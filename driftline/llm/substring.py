@@ -554,6 +554,8 @@ def repeated_passages(docs: DataFrame, hashes: int = HASHES) -> DataFrame:
     keyed = named.withColumn("digest", F.sha2("text", 256))
     rows = keyed.where("digest IS NOT NULL").groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
     same = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.sum("rows").alias("n"), F.max("rows").alias("rows")).where("n > 1"), "copies")
+    if same.isEmpty():
+        return _passages_of(named, hashes)
     every = spread_join(keyed, same.select("digest", "first"), "digest", "doc_id", "left", counts=same)
     copies = materialize(every.where("doc_id <> first").select("doc_id", "first"), "copies").distinct()
     texts = only_needed(named, copies.select("doc_id"), absent=True).union(
